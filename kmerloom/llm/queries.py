@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, lm_scoring, mixing, quality, token_counts
+from .store import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,31 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    scratch = Scratch(spark, "op2")
+    stats = scratch.write(quality.with_statistics(docs, ["doc_id"]).withColumn("held_out", F.coalesce(fold == 2, F.lit(False))))
+    model = quality.fit_on(stats.filter(~F.col("held_out")), labels, "quality")
+    scored = stats.select("doc_id", "held_out", model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target model counts the texts that are labelled as good, the background model all texts."""
+    good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return lm_scoring.score_documents(docs, F.col("_quality") == 1)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -59,7 +81,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe_codec": op3_bpe_codec, "op8_mixing": op8_mixing}
+    return {"op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,8 +37,10 @@ class _Powers:
         if len(self.up) < n + 1:
             size = max(n + 1, 1 << 16)
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate(([1], np.full(size - 1, self.base))).astype(_U), dtype=_U)
-                self.down = np.cumprod(np.concatenate(([1], np.full(size - 1, self.inverse))).astype(_U), dtype=_U)
+                for name, base in (("up", self.base), ("down", self.inverse)):
+                    factors = np.full(size, base, _U)
+                    factors[0] = 1
+                    setattr(self, name, np.cumprod(factors, dtype=_U))
         return self.up, self.down
 
 
