@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_scoring, mixing, quality, token_counts
+from . import bpe, jaccard, lm_scoring, mixing, quality, token_counts
 from .store import Scratch
 
 
@@ -22,6 +22,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=4, threshold=0.85)
+    return found.members.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -81,7 +86,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
