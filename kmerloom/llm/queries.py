@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm_scoring, mixing, quality, token_counts
+from . import bpe, jaccard, lm_scoring, mixing, quality, substring, token_counts
 from .store import Scratch
 
 
@@ -57,6 +57,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -86,7 +91,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
