@@ -48,7 +48,10 @@ def _tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def trigram_counts(docs: DataFrame, wanted: Column, text: str = "text") -> DataFrame:
-    """code, n_background, n_target over all texts; each task adds up its own first."""
+    """code, n_background, n_target over all texts; each task adds up its own first.
+
+    ``wanted`` is a condition on ``docs``; null is false.  Rows count as often as they stand there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {True: (np.zeros(0, np.uint32), np.zeros(0, np.int64)), False: (np.zeros(0, np.uint32), np.zeros(0, np.int64))}
@@ -94,7 +97,10 @@ def _losses(codes: np.ndarray, counts: np.ndarray, prior: float) -> np.ndarray:
 
 
 def fit(counts: DataFrame, prior: float = 8.0) -> Models:
-    """Both models of a table of counts, which has 256**3 rows at most (in text far fewer)."""
+    """Both models of a table of counts, which has 256**3 rows at most (in text far fewer).
+
+    Without any wanted text the target model is uniform.
+    """
     found = counts.toArrow().sort_by("code")
     codes = found.column("code").to_numpy().astype(np.int64)
     used = np.unique(np.concatenate([(codes >> 16) & 255, (codes >> 8) & 255, codes & 255])) if len(codes) else np.zeros(1, np.int64)
@@ -110,16 +116,14 @@ def fit(counts: DataFrame, prior: float = 8.0) -> Models:
     return Models(rank, *cubes)
 
 
-def score_documents(docs: DataFrame, wanted: Column, key: str = "doc_id", text: str = "text", prior: float = 8.0) -> DataFrame:
+def score_documents(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean loss per token under both models, and their difference, for every text.
 
     Returns key, n_tokens (bytes), loss_target, loss_background and ce_difference
-    (target minus background: the lower, the more like the wanted texts).  ``wanted`` is a
-    condition on ``docs``; null is false.  A null or empty text has no tokens and losses 0;
-    without any wanted text the target model is uniform; repeated rows count as often as
-    they stand there.
+    (target minus background: the lower, the more like the wanted texts).  A null or empty
+    text has no tokens and losses 0; repeated rows give repeated rows.  ``models`` must come
+    from counts that cover the texts.
     """
-    models = fit(trigram_counts(docs, wanted, text), prior)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType() if n == "n_tokens" else T.DoubleType()) for n in ("n_tokens", "loss_target", "loss_background", "ce_difference"))])
 

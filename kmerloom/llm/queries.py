@@ -43,9 +43,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target model counts the texts that are labelled as good, the background model all texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return lm_scoring.score_documents(docs, F.col("_quality") == 1)
+    # labels grow with the documents: the same join at every size
+    counts = lm_scoring.trigram_counts(docs.join(good.hint("merge"), "doc_id", "left"), F.col("_quality") == 1)
+    return lm_scoring.score_documents(docs, lm_scoring.fit(counts))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
