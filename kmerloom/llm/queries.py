@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm_scoring, mixing, quality, substring, token_counts
+from . import bpe, embeddings, jaccard, licenses, line_rules, lm_scoring, mixing, quality, substring, token_counts
 from .store import Scratch
 
 
@@ -41,6 +41,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target model counts the texts that are labelled as good, the background model all texts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,11 +59,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -93,7 +107,7 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op8_mixing": op8_mixing, "op10_substring": op10_substring}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op4_licenses": op4_licenses, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_line_rules": op9_line_rules, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
