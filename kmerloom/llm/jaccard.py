@@ -1,16 +1,21 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Two documents with n and m shingles have a Jaccard similarity of t or more just if they
-share T = t / (1 + t) * (n + m) shingles.  DivideSkip splits the inverted lists of a
-query's shingles in two.  The short lists, of its n - ceil(t * n) + 1 rarest shingles,
-are merged in document order; a match must show up there at least once.  The long lists
-are never merged, or even built: a candidate is probed in each of them by binary search,
-here of the shingle in the candidate's sorted set, and stays if it reaches T in all.
+The shingles of a document fall into S segments by their hash.  If two documents with n
+and m shingles have a Jaccard similarity of t or more, at most
+k = (1 - t) / (1 + t) * (n + m) shingles are in one of them only, so at least S - k of
+their segments are equal.  With an inverted list for each content of a segment, that is
+a T-occurrence problem with T = S - k.  DivideSkip splits the lists of a query in two: with
+T - 1 - j of them left out, a match must still show up in 1 + j of the other k + 1 + j,
+which are merged in document order.  A candidate is then probed in the lists that were
+left out by binary search, shingle by shingle in its sorted set, and stays if it reaches
+the required overlap.  As a segment holds several shingles, a passage that many documents
+share makes no long list among the merged ones; only near copies do.
 
 Groups of copies stay linear.  Equal sets are one class.  A first pass only links each
-class to the head of each short list (a star), and a second pass only looks at pairs
+class to the head and the hub of each short list (stars), and a second pass only looks at pairs
 whose components still differ, so nothing that could join two components is left out
-and the pairs within one are never made.
+and the pairs within one are never made.  Pairs whose parity maps prove too many
+differences are passed over in both.
 """
 
 from __future__ import annotations
@@ -21,15 +26,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
 from .graph import connected_components
-from .store import Scratch
-
-HEAVY = 1 << 15  # counters of the sketch of frequent shingles, and their number at most
+from .store import Scratch, batch_rows
 
 
 def _shingles(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,14 +47,10 @@ def _shingles(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
     return np.concatenate((full, whole)), np.concatenate((doc, short))
 
 
-def _shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, rare before frequent, and n + 1 bounds."""
+def _shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text in the order of their hash, and n + 1 bounds."""
     h, doc = _shingles(textbuf.lower(buf), offs, width)
-    late = np.zeros(len(h), np.int32)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-        late = np.where(heavy[at] == h, rank[at], 0).astype(np.int32)
-    order = np.lexsort((h, late, doc))
+    order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -59,43 +58,55 @@ def _shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int, heavy: np.ndarr
     return h, np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _merge_counts(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries summary: at most ``size`` keys, each undercounted by at most total / size."""
-    keys, where = np.unique(keys, return_inverse=True)
-    counts = np.bincount(where, counts, len(keys)).astype(np.int64)
-    if len(keys) > size:
-        counts -= np.partition(counts, len(keys) - size - 1)[len(keys) - size - 1]
-        keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
+def _segment_bits(k: np.ndarray) -> np.ndarray:
+    """Bits of the number of segments for k differences: above 1.5 * (k + 1), so that there are k + 1 + j that are not empty."""
+    return np.ceil(np.log2(1.5 * (k + 1) + 1)).astype(np.int64)
 
 
-def heavy_shingles(docs: DataFrame, width: int, text: str = "text", size: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles in order of their hash, and their rank by frequency.
+def _short_lists(h: np.ndarray, bounds: np.ndarray, bits: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the inverted lists that are merged for each document, and the document of each.
 
-    Each task keeps a summary of ``size`` counters, so what is frequent anywhere is found
-    at any size of the corpus; at most ``size`` shingles come back.  They only decide the
-    order of shingles, and results are exact under any order.
+    ``h``: sorted sets; ``bits``: segments of each document are the leading bits of the hash.
+    Of each document the first k + 1 + j segments that are not empty, j = (k + 1) // 4.  Of two
+    matching documents, the one whose k + 1 + j end earlier has 1 + j among them that the other
+    has too.  If fewer are not empty, all come, and the empty ones by their number: these match
+    only others in the same state, which is the case that those k + 1 + j don't settle.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in batches:
-            for _, _, buf, offs in textbuf.chunks(batch.column(0)):
-                h, _ = _shingles(textbuf.lower(buf), offs, width)
-                own, n = np.unique(h, return_counts=True)
-                total += len(h)
-                keys, counts = _merge_counts(np.concatenate((keys, own)), np.concatenate((counts, n)), size)
-        often = counts >= max(4, total // size)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
-
-    found = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.filter("n >= 16").orderBy(F.desc("n"), "token").limit(size).toArrow()
-    keys, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    by_count = np.lexsort((keys, n))
-    rank = np.empty(len(keys), np.int32)
-    rank[by_count] = np.arange(1, len(keys) + 1)
-    by_hash = np.argsort(keys)
-    return keys[by_hash], rank[by_hash]
+    k = k + (k + 1) // 4
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    segment = h >> (np.uint64(64) - bits.astype(np.uint64))[doc]
+    first = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+    upto = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(textbuf.mix(h), out=upto[1:])
+    content = np.append(upto[first[1:]], upto[-1:]) - upto[first] if len(first) else upto[:0]
+    of = doc[first]
+    begin = np.searchsorted(of, np.arange(len(n) + 1))
+    keep = np.arange(len(first)) - begin[of] <= k[of]
+    name = lambda d, seg, what: textbuf.mix(what + textbuf.mix((bits[d].astype(np.uint64) << np.uint64(56)) + seg))
+    names, docs = [name(of[keep], segment[first[keep]], content[keep])], [of[keep]]
+    for d in np.flatnonzero((np.diff(begin) <= k) & (n > 0)).tolist():
+        empty = np.setdiff1d(np.arange(1 << int(bits[d]), dtype=np.uint64), segment[bounds[d] : bounds[d + 1]])
+        names.append(name(np.full(len(empty), d), empty, np.uint64(0)))
+        docs.append(np.full(len(empty), d))
+    return np.concatenate(names), np.concatenate(docs)
+
+
+MAP_LONGS = 8
+MAPS = [f"m{i}" for i in range(MAP_LONGS)]
+
+
+def _parity_maps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * MAP_LONGS for each set, in which every shingle flips the bit of its hash.
+
+    Bits in which two maps differ are shingles of one set only, so there are at most as
+    many as differences: a lower bound on these that costs a few machine words.
+    """
+    width = 64 * MAP_LONGS
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    cell = doc * width + (h & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=(len(bounds) - 1) * width) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, width), axis=1).view(np.int64).reshape(-1, MAP_LONGS)
 
 
 @dataclass
@@ -126,26 +137,33 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    orders = spark.sparkContext.broadcast(heavy_shingles(docs, width))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = orders.value
         for batch in batches:
             for lo, hi, buf, offs in textbuf.chunks(batch.column(1)):
-                h, bounds = _shingle_sets(buf, offs, width, heavy, rank)
+                h, bounds = _shingle_sets(buf, offs, width)
                 n = np.diff(bounds)
                 keys = []
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                     upto = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(textbuf.mix(h ^ np.uint64(salt)), out=upto[1:])
                     keys.append((upto[bounds[1:]] - upto[bounds[:-1]]).view(np.int64))
-                prefix = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
-                pos = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-                tokens = h[pos < np.repeat(prefix, n)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, keys), pa.array(n.astype(np.int64)), lists], names=["id", "ka", "kb", "n", "prefix"])
-
-    feats = scratch.write(docs.mapInArrow(features, "id long, ka long, kb long, n long, prefix array<long>"))
+                # differences from a match of any size; a match that is larger may use more segments, so all numbers in between are served
+                k = (den - num) * n // num
+                own, larger = _segment_bits(k), _segment_bits((den - num) * (n * den // num) // num)
+                parts = []
+                for more in range(int((larger - own).max(initial=0)) + 1):
+                    names, doc = _short_lists(h, bounds, own + more, k)
+                    some = (k > 0) & (own + more <= larger)
+                    parts.append((names[some[doc]], doc[some[doc]]))
+                names, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(doc, kind="stable")
+                ends = np.searchsorted(doc[order], np.arange(hi - lo + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(names[order].view(np.int64)))
+                maps = _parity_maps(h, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, keys), pa.array(n.astype(np.int64)), lists, *(pa.array(maps[:, i]) for i in range(MAP_LONGS))], names=["id", "ka", "kb", "n", "short", *MAPS])
+
+    feats = scratch.write(docs.mapInArrow(features, "id long, ka long, kb long, n long, short array<long>, " + ", ".join(f"{m} long" for m in MAPS)))
     filled = feats.filter("n > 0 AND id IS NOT NULL")
     classes = scratch.write(filled.groupBy("ka", "kb").agg(F.min("id").alias("class_id")))
     reps = filled.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
@@ -155,12 +173,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
         token = head = head_n = None
         held: tuple | None = None  # a lone first row
         for batch in batches:
-            tok, rep, n, pos = (batch.column(i).to_numpy() for i in range(4))
+            tok, rep, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(tok):
                 continue
             lead = 0
             if held is not None and held[0] == tok[0]:
-                tok, rep, n, pos = (np.concatenate(([x], y)) for x, y in zip(held, (tok, rep, n, pos), strict=True))
+                tok, rep, n = (np.concatenate(([x], y)) for x, y in zip(held, (tok, rep, n), strict=True))
             elif token is not None and held is None and token == tok[0]:
                 lead = 1  # goes on a list whose head is known
             first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
@@ -181,24 +199,31 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
                 keep[: ends[0]] = True
             token, head, head_n = tok[-1], heads[-1], head_ns[-1]
             lone = ends[-1] - first[-1] == 1 and not (lead and len(first) == 1)
-            held = (tok[-1], rep[-1], n[-1], pos[-1]) if lone else None
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (tok, rep, n, pos, heads)], names=["token", "rep", "n", "pos", "head"])
+            held = (tok[-1], rep[-1], n[-1]) if lone else None
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (tok, rep, n, heads, head_ns)], names=["token", "rep", "n", "head", "head_n"])
 
-    entries = reps.select(F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
+    entries = reps.select(F.col("id").alias("rep"), "n", F.explode("short").alias("token")).select("token", "rep", "n")
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "rep")
-    lists = scratch.write(entries.mapInArrow(lists_of, "token long, rep long, n long, pos long, head long"))
+    lists = scratch.write(entries.mapInArrow(lists_of, "token long, rep long, n long, head long, head_n long"))
+    small = scratch.write(feats.drop("short", *MAPS))
+    maps = scratch.write(reps.select(F.col("id").alias("rep"), *MAPS).join(lists.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    scratch.drop(feats)
+    feats = small
     scratch.reclaim()
 
-    # Whole sets, only of what stands in a list; sorted by hash for the probes.
+    # 1 + j of the smaller set: how many merged lists must have both
+    hits = lambda n: F.col("hits") >= 1 + F.floor((F.floor((den - num) * n / num) + 1) / 4)
+    # Whole sets, only of what stands in as many lists as its smallest match would need; sorted by hash for the probes.
+    busy = lists.groupBy("rep").agg(F.count("*").alias("hits"), F.first("n").alias("n")).filter(hits(F.floor(num * F.col("n") / den))).select("rep")
+    busy = scratch.write(busy)
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             for lo, hi, buf, offs in textbuf.chunks(batch.column(1)):
-                h, bounds = _shingle_sets(buf, offs, width, none, none)
+                h, bounds = _shingle_sets(buf, offs, width)
                 lists_ = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_], names=["rep", "tokens"])
 
-    wanted = lists.select(F.col("rep").alias("id")).distinct()
+    wanted = busy.select(F.col("rep").alias("id"))
     sets = scratch.write(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets_of, "rep long, tokens array<long>"))
     scratch.reclaim()
 
@@ -225,23 +250,45 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
         left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left"))
         right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return scratch.write(both.mapInArrow(probe, "a long, b long, overlap long"))
-
-    stars = verified(lists.filter("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
+        with batch_rows(spark, 128):  # a row holds two whole sets
+            return scratch.write(both.mapInArrow(probe, "a long, b long, overlap long"))
+
+    # Two stars for each list: its head, and its hub, the member that stands in the longest lists.  An original is the
+    # hub of its copies, even where these are too far from one another.
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"))
+    central = lists.join(sizes, "token").groupBy("rep").agg(F.sum("size").alias("central"), F.first("n").alias("n"))
+    hubs = lists.select("token", "rep").join(central, "rep").groupBy("token").agg(F.max(F.struct("central", F.negate("rep").alias("r"), "n")).alias("h"))
+    spokes = lists.join(hubs, "token").select("rep", (-F.col("h.r")).alias("head"), F.least("n", "h.n").alias("n"))
+    spokes = spokes.unionByName(lists.select("rep", "head", F.col("head_n").alias("n"))).filter("rep != head")
+    tried = spokes.groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    # either stands for some of the lists only, so a third of what a match has is enough here; the second pass settles the rest
+    tried = tried.withColumn("hits", 3 * F.col("hits")).filter(hits(F.col("n"))).select("a", "b")
+    sized = maps.join(busy, "rep", "left_semi").join(lists.select("rep", "n").distinct(), "rep")
+    for end in ("a", "b"):
+        tried = tried.join(sized.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), *(F.col(m).alias(f"{m}_{end}") for m in MAPS)), end)
+
+    def near(n_x: Column, n_y: Column, x: str, y: str) -> Column:
+        """Differences that the parity maps prove are no more than a match can have."""
+        proved = sum((F.bit_count(F.col(x.format(m)).bitwiseXOR(F.col(y.format(m)))) for m in MAPS), F.lit(0))
+        return (num + den) * proved <= (den - num) * (n_x + n_y)
+
+    tried = scratch.write(tried.filter(near(F.col("n_a"), F.col("n_b"), "{}_a", "{}_b")).select("a", "b"))
+    stars = verified(tried)
     edges = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     first = scratch.write(connected_components(edges(stars), scratch))
 
     # Second pass: lists that still hold more than one component.
-    placed = lists.select("token", "rep", "n", "pos").join(first.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = lists.select("token", "rep", "n").join(busy, "rep", "left_semi").join(first.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_ = scratch.write(placed.join(split, "token", "left_semi"))
+    open_ = scratch.write(placed.join(split, "token", "left_semi").join(maps, "rep"))
     x, y = open_.alias("x"), open_.alias("y")
     fits = (F.col("x.component") < F.col("y.component")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-    # from a first common shingle at these places on, this many can still follow
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits &= (num + den) * room >= num * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    across = verified(pairs)
+    fits &= near(F.col("x.n"), F.col("y.n"), "x.{}", "y.{}")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("hits"), F.first(F.least("x.n", "y.n")).alias("n")).filter(hits(F.col("n"))).select("a", "b")
+    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    scratch.reclaim()
+    across = verified(pairs.join(known, ["a", "b"], "left_anti"))
     joined = first.select("v", "component")
     if not across.isEmpty():
         place = joined.select("v", "component")
