@@ -294,7 +294,10 @@ def correct_reads(reads: DataFrame, solid_kmers: DataFrame, k: int, key: str = "
         near = near.select(key, F.concat(F.substring("kmer", F.lit(1), F.col("i") - 1), F.col("b"), F.substring("kmer", F.col("i") + 1, F.lit(k))).alias("kmer"))
         own = near.select(key, S.canonical("kmer").alias("kmer")).distinct().join(solid_kmers.select("kmer"), "kmer", "left_semi")
         own = own.groupBy(key).agg(F.collect_set("kmer").alias("_solid"))
+        from .graph import cut
+
         before = state
-        state = state.join(own, key, "left").mapInPandas(rounds, schema).checkpoint()
+        state = state.join(own, key, "left").mapInPandas(rounds, schema)
+        state = cut(state)
         if state.agg(F.sum("changed")).first()[0] == before.agg(F.sum("changed")).first()[0]:
             return state.drop("_at")

@@ -1,6 +1,16 @@
+import os
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+# the workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
