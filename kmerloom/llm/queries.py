@@ -105,10 +105,64 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+_W = r"[^\x20\x09-\x0D]+"
+
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE v = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM m, range(5) AS o(j) WHERE m.n > 1 GROUP BY doc_id),
+x AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_W}')) AS n FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
+b AS (SELECT doc_id, sum(n) AS lost FROM x WHERE n > 0 AND (
+      (n >= 8 AND NOT regexp_matches(line, '[.!?;:…。！？]'))
+      OR 100 * len(regexp_extract_all(line, '[^\x20\x09-\x0D]*[#*$%&<>~^]{{2,}}[^\x20\x09-\x0D]*')) > 30 * n
+      OR 100 * len(regexp_extract_all(line, '!!')) > 50 * n
+      OR 100 * len(list_filter(regexp_extract_all(line, '{_W}'), lambda z: z IN ('|', '»', '›', '·', '•'))) > 20 * n
+      OR (n <= 25 AND regexp_matches(line, '(?i){"|".join(line_rules.BOILERPLATE)}'))) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda z: length(z))), 0)::BIGINT AS word_chars,
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      (len(list_filter(lines, lambda z: regexp_matches(z, '{_W}'))) - len(list_distinct(list_filter(lines, lambda z: regexp_matches(z, '{_W}')))))::BIGINT AS n_dup_lines,
+      coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(b.lost, 0) AS lost FROM d LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 50 * n_words AS kept FROM v
+"""
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, i + j AS place FROM m, range(50) AS o(j) WHERE first < doc_id),
+k AS (SELECT doc_id, place, w[place] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM d)),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.place = k.place) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r(v, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a WHERE r.c < l.b)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE a = v.vec_id) AS n_links, (SELECT min(c) FROM r WHERE r.v = v.vec_id) AS component_id,
+       (SELECT min(c) FROM r WHERE r.v = v.vec_id) = v.vec_id AS kept FROM v
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op4_licenses": op4_licenses, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_line_rules": op9_line_rules, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op7_embeddings": OP7_SQL, "op8_mixing": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_substring": OP10_SQL}
