@@ -54,5 +54,6 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, start, end): events as intervals; the kind is the chromosome."""
-    start = F.floor(F.unix_micros("ts") / 1_000_000) % 1_000_000
+    # wall-clock seconds, whether the column has a time zone or not
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))") % 1_000_000
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("chrom"), start.cast("long").alias("start"), (start + F.floor("value").cast("long")).cast("long").alias("end"))

@@ -487,9 +487,9 @@ g AS (SELECT *, sum(CASE WHEN upto IS NULL OR start > upto THEN 1 ELSE 0 END) OV
 u AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM g GROUP BY chrom, g)"""
 
 
-@query(f'WITH {_UNION} SELECT chrom, start, "end" FROM u')
+@query(f'WITH {_UNION} SELECT chrom, start AS first_pos, "end" AS last_pos FROM u')
 def interval_union(spark, sf_dir):
-    return audit.interval_union(V.intervals(spark, sf_dir))
+    return audit.interval_union(V.intervals(spark, sf_dir)).toDF("chrom", "first_pos", "last_pos")
 
 
 @query(f'WITH {_UNION} SELECT chrom, sum("end" - start + 1)::BIGINT AS covered FROM u GROUP BY chrom')
