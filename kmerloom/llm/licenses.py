@@ -10,8 +10,9 @@ compared in full.  Everything is DataFrame operations.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 from math import ceil
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +59,11 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES, text: str
     words are runs of ASCII digits, letters and all characters beyond ASCII.  Null or
     empty texts have no words, no places, null first and last words and '' as labels.
     """
-    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "_w", "_at")
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "_w", "_at", "_low")
     t = F.coalesce(F.col(text), F.lit(""))
-    maybe = t.rlike("(?i)" + "|".join(rf"[{OTHER}]+".join(map(re.escape, p.split())) for p in phrases))
-    df = docs.withColumn("n_words", F.regexp_count(t, F.lit(WORD)).cast("long"))
+    df = docs.withColumn("n_words", F.regexp_count(t, F.lit(WORD)).cast("long")).withColumn("_low", F.lower(t))
+    # plain searches for the words of a phrase cost far less than a pattern; places are found exactly below
+    maybe = reduce(or_, (reduce(and_, (F.contains(F.col("_low"), F.lit(w)) for w in sorted(set(p.split()), key=len, reverse=True))) for p in phrases))
     df = df.withColumn("_w", F.when(maybe, _words(t)))  # only texts that can have a place are taken apart
     places = []
     for p in phrases:
@@ -79,7 +81,7 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES, text: str
             "base_labels": F.coalesce(F.array_join(F.sort_array(F.array_distinct(F.when(F.col("_at").isNotNull(), named))), ","), F.lit("")),
         }
     )
-    return df.drop("_w", "_at")
+    return df.drop("_w", "_at", "_low")
 
 
 def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,16 +100,17 @@ def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
     seen = body.select(F.explode(F.array_intersect(F.split(F.lower("_t"), rf"[{OTHER}]+"), F.array(*map(F.lit, vocabulary)))).alias("word"))
     frequency = dict(seen.groupBy("word").count().collect())
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    rows, prefixes = [], set()
+    rows, guards = [], set()
     for number, ((label, _), words) in enumerate(zip(templates, sets, strict=True)):
         ranked = sorted(words, key=order.__getitem__)
         need = ceil(threshold * len(ranked) - 1e-9)
+        # a match lacks |T| - need words at most, so it has one of any |T| - need + 1: for a cheap look, the longest
+        guards.update(sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1])
         for at, w in enumerate(ranked[: len(ranked) - need + 1]):
-            prefixes.add(w)
             rows.append((order[w], at, number, label, [order[x] for x in ranked], need))
     plan = spark.createDataFrame(rows, "rank int, at int, template int, label string, ranks array<int>, need int")
-    # lines of the texts that have a prefix word at all, as the ranks of their template words
-    some = body.filter(F.col("_t").rlike("(?i)" + "|".join(sorted(prefixes))))
+    # lines of the texts that can hold a match at all, as the ranks of their template words
+    some = body.withColumn("_low", F.lower("_t")).filter(reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in sorted(guards))))
     lines = some.select(key, F.posexplode(F.split("_t", "\n")).alias("line", "block"))
     ranks = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*map(F.lit, order.values())))
     held = F.sort_array(F.array_compact(F.transform(F.array_distinct(_words(F.col("block"))), lambda w: F.try_element_at(ranks, w))))
