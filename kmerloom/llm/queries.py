@@ -159,10 +159,33 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE a = v.vec_id) AS n_links, (SELECT
        (SELECT min(c) FROM r WHERE r.v = v.vec_id) = v.vec_id AS kept FROM v
 """
 
+def _op4_sql() -> str:
+    lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {lists(p.split())})" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{label}', {lists(sorted(set(t.split())))})" for label, t in licenses.TEMPLATES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
+p(label, ws) AS (VALUES {phrases}), q(label, ws) AS (VALUES {templates}),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE t LIKE '%license%' OR t LIKE '%cc%'),
+a AS (SELECT doc_id, i - 1 AS i, label FROM i, p WHERE w[i:i + len(ws) - 1] = ws),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM a GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS ws FROM w),
+m AS (SELECT doc_id, label, len(list_intersect(q.ws, l.ws)) AS n, len(q.ws) AS size FROM l, q WHERE len(l.ws) > 0),
+f AS (SELECT doc_id, label, n::DOUBLE / size AS c FROM m WHERE n >= ceil(0.9 * size - 1e-9)),
+x AS (SELECT doc_id, max(c) AS best FROM f GROUP BY doc_id),
+g AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM a GROUP BY doc_id),
+h AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM a UNION ALL SELECT doc_id, label FROM f) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(g.s, '') AS base_labels, coalesce(h.s, '') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(x.best, 0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op4_licenses": op4_licenses, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_line_rules": op9_line_rules, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op7_embeddings": OP7_SQL, "op8_mixing": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_substring": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_licenses": _op4_sql(), "op7_embeddings": OP7_SQL, "op8_mixing": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_substring": OP10_SQL}
