@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .store import document_batches
+
 #: The pre-tokenizer pattern of byte-level BPE, with white space spelled out as a Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -72,8 +74,9 @@ class TrieBpe:
         self.beside: dict[int, bool] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.cache: dict[str, str] = {}  # a word's ids, joined by commas
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # what words decode to, where that isn't the word itself
 
     def stays(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens a and b as they are when their bytes stand side by side.
@@ -98,7 +101,7 @@ class TrieBpe:
             else:
                 out = True
                 break
-        if len(self.beside) > 500_000:
+        if len(self.beside) > 300_000:
             self.beside.clear()
         self.beside[key] = out
         return out
@@ -194,7 +197,10 @@ class TrieBpe:
         by_bytes = sorted((w.encode("utf-8"), w) for w in new)
         for (raw, w), ranks in zip(by_bytes, self.encode_sorted(b for b, _ in by_bytes), strict=True):
             ids = [self.id_of[r] for r in ranks]
-            self.cache[w] = (len(ids), ",".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids))
+            self.cache[w] = ",".join(map(str, ids))
+            back = b"".join([self.bytes_of[i] for i in ids])
+            if back != raw:
+                self.odd[w] = back
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of a text, in order."""
@@ -203,12 +209,10 @@ class TrieBpe:
         return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self.split(part))]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[str], dict]]:
-        """For each text its pieces, and the table of (number of ids, ids as text, decoded bytes) by piece.
+        """For each text its pieces, and the table of ids, as text, by piece.
 
         Groups of texts share one traversal.
         """
-        for special, i in self.special.items():
-            self.cache[special] = (1, str(i), self.bytes_of[i])
         group, seen = [], 0
         for text in texts:
             group.append(self.pieces(text))
@@ -221,13 +225,13 @@ class TrieBpe:
     def _flush(self, group: list[list[str]]) -> Iterator[tuple[list[str], dict]]:
         self.learn(set().union(*group))
         for special, i in self.special.items():
-            self.cache[special] = (1, str(i), self.bytes_of[i])
+            self.cache[special] = str(i)
         for pieces in group:
             yield pieces, self.cache
 
     def ids(self, text: str) -> list[int]:
         pieces, table = next(iter(self.encode([text])))
-        return [int(i) for p in pieces for i in table[p][1].split(",") if i]
+        return [int(i) for p in pieces for i in table[p].split(",") if i]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -248,6 +252,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     A null text counts as empty: no tokens, digests of the empty string.  Rows that
     repeat give repeated rows; other columns are not read.
     """
+    document_batches(docs.sparkSession)
     fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -262,10 +267,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 part = batch.slice(at, 256)
                 counts, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
                 for pieces, table in bpe.encode([t or "" for t in part.column(1).to_pylist()]):
-                    found = [table[p] for p in pieces]
-                    ids = ",".join([f[1] for f in found])
-                    back = b"".join([f[2] for f in found]).decode("utf-8", "replace")
-                    counts.append(sum([f[0] for f in found]))
+                    ids = ",".join([table[p] for p in pieces])
+                    # what each piece decodes to was looked at when it was encoded
+                    back = "".join(pieces) if not bpe.odd else b"".join([bpe.odd.get(p) or p.encode() for p in pieces]).decode("utf-8", "replace")
+                    counts.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                     if with_ids:

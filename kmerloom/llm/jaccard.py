@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import textbuf
 from .graph import connected_components
-from .store import Scratch, batch_rows
+from .store import Scratch, batch_rows, document_batches
 
 
 def _shingles(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     are not read.  Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    document_batches(spark)
     scratch = scratch or Scratch(spark, "jaccard")
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .store import document_batches
 
 PAD = 0  # two of these stand before every text
 
@@ -124,6 +125,7 @@ def score_documents(docs: DataFrame, models: Models, key: str = "doc_id", text:
     text has no tokens and losses 0; repeated rows give repeated rows.  ``models`` must come
     from counts that cover the texts.
     """
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType() if n == "n_tokens" else T.DoubleType()) for n in ("n_tokens", "loss_target", "loss_background", "ce_difference"))])
 

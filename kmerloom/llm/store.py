@@ -47,6 +47,19 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+DOCUMENT_ROWS = 1000
+
+
+def document_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold ``DOCUMENT_ROWS`` at most in this session: their rows are whole documents.
+
+    A smaller setting stays; Spark's limit in bytes holds as well.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= DOCUMENT_ROWS:
+        spark.conf.set(name, str(DOCUMENT_ROWS))
+
+
 class Scratch:
     """Tables written as zstd Parquet in the shared folder; each cuts the lineage of what follows.
 
