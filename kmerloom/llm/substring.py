@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
-from .store import Scratch
+from .store import Scratch, document_batches
 
 #: Perfect difference sets; every non-zero residue is a difference exactly once.
 COVERS = {
@@ -153,7 +153,9 @@ def repeated_windows(docs: DataFrame, min_words: int, scratch: Scratch) -> DataF
     found = places.groupBy("id").agg(F.collect_list("pos").alias("anchors")).join(copies, "id", "left_anti")
     windows = scratch.write(_windows(texts.join(found, "id").select("id", "text", "anchors"), min_words))
     scratch.reclaim()
-    first = windows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
+    # written first: a join of two plain tables is one whose hot keys Spark can split
+    first = scratch.write(windows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first"))
+    scratch.reclaim()
     later = windows.join(first, "token").filter("id > first").select("id", "pos")
     starts = later.groupBy("id").agg(F.collect_set("pos").alias("starts"))
     return scratch.write(starts.unionByName(copies.select("id", F.array(F.lit(WHOLE)).alias("starts"))))
@@ -174,6 +176,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, key: str = "doc_id",
     are treated alike.  Columns named like the added ones are replaced.  Windows are
     compared by 64-bit hashes.
     """
+    document_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     docs = docs.drop(*(c for c in ("n_words", "n_removed", "kept_text", "_starts") if c not in (key, text)))
     starts = repeated_windows(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), min_words, scratch)
