@@ -51,8 +51,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     # labels grow with the documents: the same join at every size
-    counts = lm_scoring.trigram_counts(docs.join(good.hint("merge"), "doc_id", "left"), F.col("_quality") == 1)
-    return lm_scoring.score_documents(docs, lm_scoring.fit(counts))
+    return lm_scoring.score_by_words(docs.join(good.hint("merge"), "doc_id", "left"), F.col("_quality") == 1)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
