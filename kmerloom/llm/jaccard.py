@@ -14,8 +14,10 @@ share makes no long list among the merged ones; only near copies do.
 Groups of copies stay linear.  Equal sets are one class.  A first pass only links each
 class to the head and the hub of each short list (stars), and a second pass only looks at pairs
 whose components still differ, so nothing that could join two components is left out
-and the pairs within one are never made.  Pairs whose parity maps prove too many
-differences are passed over in both.
+and the pairs within one are not made for them.  Pairs whose parity maps prove too many
+differences are passed over in both.  The links themselves all lie within components: who
+asks for them or for their number has all pairs of classes of each component compared,
+dealt over tasks in blocks.
 """
 
 from __future__ import annotations
@@ -114,12 +116,44 @@ class JaccardJoin:
     """What the join found; all tables are distributed.
 
     members: key, n_shingles, class_id (smallest key with the same set), component_id
-    links: a, b, overlap for the verified pairs between classes: those between components
-        of the first pass and the stars inside of them
+    links: a < b, overlap for every two classes that match; made when it is read
+    counted: members and n_links, the number of other documents that match (those of the same class
+        too; 0 for a null key); made when it is read, without rows for pairs
     """
 
     members: DataFrame
     links: DataFrame
+    counted: DataFrame
+
+
+BLOCK = 512  # classes of a component that are compared with as many others in one task
+_COLUMNS = 4096
+
+
+def _overlaps(values: np.ndarray, offs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shared values of each row of ``left`` with each of ``right`` (rows of sets), as products of incidence matrices."""
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    _, column = np.unique(values, return_inverse=True)
+    place = np.full((2, len(offs) - 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    seen = [np.bincount(column[p[row] >= 0], minlength=int(column.max(initial=-1)) + 1) for p in place]
+    shared = (seen[0] > 0) & (seen[1] > 0)
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), _COLUMNS):
+        at = slice(*np.searchsorted(column, (lo, lo + _COLUMNS)))
+        sides = []
+        for p, rows in zip(place, (left, right), strict=True):
+            side = np.zeros((len(rows), min(_COLUMNS, int(shared.sum()) - lo)), np.float32)
+            mine = p[row[at]] >= 0
+            side[p[row[at]][mine], column[at][mine] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> JaccardJoin:
@@ -305,4 +339,44 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     members = members.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")))
     members = members.join(joined.select(F.col("v").alias("class_id"), "component"), "class_id", "left")
     members = members.select(F.col("id").alias(key), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return JaccardJoin(members, stars.unionByName(across))
+
+    # Links: classes of a component in blocks by hash, and every two blocks together.
+    sizes = feats.filter("n > 0 AND id IS NOT NULL").select("id", "ka", "kb").distinct().groupBy("ka", "kb").agg(F.count("*").alias("size"))
+    sizes = sizes.join(classes, ["ka", "kb"]).select("class_id", "size")
+    blocks = joined.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = joined.select(F.col("v").alias("rep"), "component").join(blocks, "component")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.join(sets, "rep").join(sizes.withColumnRenamed("class_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "block", "size", "tokens")
+
+    def matches(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of both sides, whether each two match, and the overlaps; within one block each pair once."""
+        tokens = group.column("tokens").combine_chunks()
+        tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+        offs = tokens.offsets.to_numpy()
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        block = group.column("block").to_numpy()
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        overlap = _overlaps(tokens.values.to_numpy()[offs[0] : offs[-1]].view(np.uint64), offs - offs[0], left, right)
+        n = np.diff(offs)
+        match = (num + den) * overlap >= num * (n[left][:, None] + n[right][None, :])
+        return left, right, np.triu(match, 1) if p == q else match, overlap
+
+    def pairs_of(group: pa.Table) -> pa.Table:
+        left, right, match, overlap = matches(group)
+        x, y = np.nonzero(match)
+        rep = group.column("rep").to_numpy()
+        a, b = rep[left[x]], rep[right[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "overlap": overlap[x, y]})
+
+    def counts_of(group: pa.Table) -> pa.Table:
+        left, right, match, _ = matches(group)
+        rep, size = group.column("rep").to_numpy(), group.column("size").to_numpy()
+        return pa.table({"class_id": np.concatenate((rep[left], rep[right])), "linked": np.concatenate((match @ size[right], size[left] @ match))})
+
+    together = dealt.groupBy("component", "p", "q")
+    links = together.applyInArrow(pairs_of, "a long, b long, overlap long")
+    linked = together.applyInArrow(counts_of, "class_id long, linked long").groupBy("class_id").agg(F.sum("linked").alias("linked"))
+    counted = members.join(sizes, "class_id", "left").join(linked, "class_id", "left")
+    n_links = F.when(F.col(key).isNull() | (F.col("n_shingles") == 0), F.lit(0)).otherwise(F.col("size") - 1 + F.coalesce("linked", F.lit(0)))
+    return JaccardJoin(members, links, counted.select(*members.columns, n_links.cast("long").alias("n_links")))

@@ -27,6 +27,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.members.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op1_ngram_jaccard``, with the number of links of each document."""
+    found = jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=4, threshold=0.85)
+    return found.counted.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -118,6 +124,8 @@ r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE v = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
 """
 
+OP1_LINKS_SQL = OP1_SQL.replace("SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,", "SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links,")
+
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
@@ -183,8 +191,8 @@ FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN h USING (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op4_licenses": op4_licenses, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_line_rules": op9_line_rules, "op10_substring": op10_substring}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality": op2_quality, "op3_bpe_codec": op3_bpe_codec, "op4_licenses": op4_licenses, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_embeddings": op7_embeddings, "op8_mixing": op8_mixing, "op9_line_rules": op9_line_rules, "op10_substring": op10_substring, "op1_links": op1_links}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_licenses": _op4_sql(), "op7_embeddings": OP7_SQL, "op8_mixing": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_substring": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_licenses": _op4_sql(), "op7_embeddings": OP7_SQL, "op8_mixing": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_substring": OP10_SQL, "op1_links": OP1_LINKS_SQL}
