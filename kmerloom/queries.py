@@ -518,6 +518,35 @@ def longest_overlap(spark, sf_dir):
     return audit.longest_overlap(v.filter("event_id % 2 = 0"), v.filter("event_id % 2 = 1"), "event_id", 256)
 
 
+# The whole table with itself
+
+
+_PAIRS = """a.chrom = b.chrom AND a.event_id != b.event_id AND a.start <= b."end" AND b.start <= a."end\""""
+
+
+@query(f"WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON {_PAIRS} AND a.event_id < b.event_id")
+def interval_overlaps_all(spark, sf_dir):
+    v = V.intervals(spark, sf_dir)
+    return audit.overlap_join(v, v, width=256).filter("l_event_id < r_event_id").select("l_event_id", "r_event_id")
+
+
+@query(f"""WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON a.chrom = b.chrom AND a.event_id != b.event_id
+AND b.start <= a.start + 30 AND b."end" >= a."end" - 30 AND a.start - 30 <= b."end" AND b.start <= a."end" + 30""")
+def interval_containment_all(spark, sf_dir):
+    v = V.intervals(spark, sf_dir)
+    return audit.contained(v, v, width=256).filter("l_event_id != r_event_id").select("l_event_id", "r_event_id")
+
+
+@query(f"""WITH {IVS} SELECT a.event_id, coalesce(max(CASE WHEN b.event_id IS NOT NULL THEN least(a."end", b."end") - greatest(a.start, b.start) + 1 END), 0)::BIGINT AS overlap
+FROM ivs a LEFT JOIN ivs b ON {_PAIRS} GROUP BY a.event_id""")
+def longest_overlap_all(spark, sf_dir):
+    v = V.intervals(spark, sf_dir)
+    both = audit.overlap_join(v, v, width=256).filter("l_event_id != r_event_id")
+    size = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
+    best = both.groupBy(F.col("l_event_id").alias("event_id")).agg(F.max(size).alias("overlap"))
+    return v.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
+
+
 # Sinks
 
 
