@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import seq as S
@@ -257,11 +257,19 @@ def polished(spark, sf_dir):
     return polish.polish(c, r, 21)
 
 
+def _contig_links(spark: SparkSession, sf_dir: str, contigs: DataFrame) -> DataFrame:
+    """(src, dst, support): keys of lineitem dealt over all contigs, in the order of their ids."""
+    ids = contigs.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("place"))
+    n = max(contigs.count(), 1)
+    links = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % n).alias("p"), (F.col("l_suppkey") % n).alias("q")).agg(F.count("*").alias("support"))
+    ends = [ids.select(F.col("place").alias(at), F.col("id").alias(name)) for at, name in (("p", "src"), ("q", "dst"))]
+    return links.join(ends[0], "p").join(ends[1], "q").filter("src != dst").select("src", "dst", "support")
+
+
 @query()
 def scaffolds(spark, sf_dir):
     c = _refs(spark, sf_dir).select("id", F.col("seq").alias("sequence"), F.lit(10.0).alias("mean_coverage"), F.lit(1).cast("long").alias("kmers_count"))
-    links = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).agg(F.count("*").alias("support"))
-    return resolve.build_scaffolds(c, links.filter("src != dst"))
+    return resolve.build_scaffolds(c, _contig_links(spark, sf_dir, c))
 
 
 # Sequences and reads
