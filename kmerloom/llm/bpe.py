@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .store import document_batches
-
 #: The pre-tokenizer pattern of byte-level BPE, with white space spelled out as a Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 CACHE_WORDS = 200_000
+LONG_WORD = 256
+GROUP_PIECES, GROUP_CHARS = 100_000, 1 << 22
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,13 +71,16 @@ class TrieBpe:
             self.pairs[rank_of[a], rank_of[b]] = r
         self.rank = {as_bytes(t): r for t, r in rank_of.items()}
         self._grow_trie()
-        self.size = [len(self.bytes_of[i]) for i in self.id_of]
+        self.own_bytes = [self.bytes_of[i] for i in self.id_of]
+        self.text_of = [str(i) for i in self.id_of]
+        self.size = [len(b) for b in self.own_bytes]
         self.beside: dict[int, bool] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.cache: dict[str, str] = {}  # a word's ids, joined by commas
         self.older: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}  # what words decode to, where that isn't the word itself
+        self.long: list[str] = []  # words that leave the cache with their group
 
     def stays(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens a and b as they are when their bytes stand side by side.
@@ -107,58 +111,79 @@ class TrieBpe:
         return out
 
     def _grow_trie(self) -> None:
-        """The vocabulary as a trie: (node, byte) to node, and the token that each node completes."""
-        self.step, self.token_at = {}, [-1]
-        for t, r in self.rank.items():
-            if not self.alone(r):
-                continue
-            node = 0
-            for byte in t:
-                key = (node << 8) | byte
-                if key not in self.step:
-                    self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = self.step[key]
-            self.token_at[node] = r
-
-    def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
+        """The vocabulary as a trie, (node, byte) to node, a depth at a time.
+
+        ``back`` leads from a node to that of its longest proper suffix, and ``ends`` has
+        the tokens that end at a node, the longest first.
+        """
+        self.step, self.back, self.ends = {}, [0], [()]
+        live = [(t, r, 0) for t, r in self.rank.items() if self.alone(r)]
+        depth = 0
+        while live:
+            made, done, following = len(self.back), {}, []
+            for t, r, node in live:
+                key = (node << 8) | t[depth]
+                child = self.step.get(key)
+                if child is None:
+                    child = self.step[key] = len(self.back)
+                    self.back.append(self._from(self.back[node], t[depth]) if depth else 0)
+                if len(t) == depth + 1:
+                    done[child] = r
+                else:
+                    following.append((t, r, child))
+            for node in range(made, len(self.back)):
+                shorter = self.ends[self.back[node]]
+                self.ends.append((done[node], *shorter) if node in done else shorter)
+            live, depth = following, depth + 1
+
+    def _from(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that goes on with a byte."""
+        while node and (node << 8) | byte not in self.step:
+            node = self.back[node]
+        return self.step.get((node << 8) | byte, 0)
+
+    def encode_sorted(self, words: Iterable[bytes]) -> Iterator[array]:
         """Ranks of each of the words, which come in order.
 
-        The state of a prefix: its last token, and the vocabulary nodes reached from each
-        of its earlier positions.  Both stand on a stack as deep as the path.
+        The state of a prefix is its last token and the vocabulary node of its longest
+        suffix.  Both stand on a stack as deep as the path, in eight bytes for each byte.
         """
-        last: list[int] = [-1]
-        open_nodes: list[list[tuple[int, int]]] = [[]]
+        last, nodes = array("i", [-1]), array("i", [0])
         path = b""
-        step, token_at, known, size = self.step.get, self.token_at, self.beside, self.size
+        step, back, ends, known, size = self.step, self.back, self.ends, self.beside, self.size
         for word in words:
             keep, top = 0, min(len(path), len(word))
             while keep < top and path[keep] == word[keep]:
                 keep += 1
-            del last[keep + 1 :], open_nodes[keep + 1 :]
+            del last[keep + 1 :], nodes[keep + 1 :]
+            node = nodes[keep]
             for at in range(keep, len(word)):
-                byte, token, reached = word[at], -1, []
-                for start, node in (*open_nodes[at], (at, 0)):
-                    node = step((node << 8) | byte)
-                    if node is None:
-                        continue
-                    reached.append((start, node))
-                    if token < 0 and (r := token_at[node]) >= 0:
-                        if start:
-                            fits = known.get((last[start] << 20) | r)
-                            if not (self.stays(last[start], r) if fits is None else fits):
-                                continue
-                        token = r
-                if token < 0:
-                    raise ValueError(f"no token ends at byte {at} of {word!r}")
-                last.append(token)
-                open_nodes.append(reached)
+                byte = word[at]
+                following = step.get((node << 8) | byte)
+                while following is None:
+                    if not node:
+                        raise ValueError(f"no token holds byte {byte}")
+                    node = back[node]
+                    following = step.get((node << 8) | byte)
+                node = following
+                for r in ends[node]:
+                    start = at + 1 - size[r]
+                    if not start:
+                        break
+                    fits = known.get((last[start] << 20) | r)
+                    if self.stays(last[start], r) if fits is None else fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends at byte {at} of {word[:40]!r}")
+                last.append(r)
+                nodes.append(node)
             path = word
-            out, at = [], len(word)
+            out, at = array("i"), len(word)
             while at:
                 out.append(last[at])
                 at -= size[last[at]]
-            yield out[::-1]
+            out.reverse()
+            yield out
 
     def alone(self, r: int) -> bool:
         """Whether BPE makes this token of its own bytes."""
@@ -196,11 +221,13 @@ class TrieBpe:
         new -= again
         by_bytes = sorted((w.encode("utf-8"), w) for w in new)
         for (raw, w), ranks in zip(by_bytes, self.encode_sorted(b for b, _ in by_bytes), strict=True):
-            ids = [self.id_of[r] for r in ranks]
-            self.cache[w] = ",".join(map(str, ids))
-            back = b"".join([self.bytes_of[i] for i in ids])
+            self.cache[w] = ",".join([self.text_of[r] for r in ranks])
+            # in parts, as a join of bytes takes eighty of them for each item
+            back = b"".join([b"".join([self.own_bytes[r] for r in ranks[i : i + 65536]]) for i in range(0, len(ranks), 65536)])
             if back != raw:
                 self.odd[w] = back
+            if len(w) > LONG_WORD:
+                self.long.append(w)
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of a text, in order."""
@@ -213,13 +240,14 @@ class TrieBpe:
 
         Groups of texts share one traversal.
         """
-        group, seen = [], 0
+        group, seen, chars = [], 0, 0
         for text in texts:
             group.append(self.pieces(text))
             seen += len(group[-1])
-            if seen > 100_000:
+            chars += len(text)
+            if seen > GROUP_PIECES or chars > GROUP_CHARS:
                 yield from self._flush(group)
-                group, seen = [], 0
+                group, seen, chars = [], 0, 0
         yield from self._flush(group)
 
     def _flush(self, group: list[list[str]]) -> Iterator[tuple[list[str], dict]]:
@@ -228,6 +256,10 @@ class TrieBpe:
             self.cache[special] = str(i)
         for pieces in group:
             yield pieces, self.cache
+        for word in self.long:
+            self.cache.pop(word, None)
+            self.odd.pop(word, None)
+        self.long.clear()
 
     def ids(self, text: str) -> list[int]:
         pieces, table = next(iter(self.encode([text])))
@@ -249,10 +281,11 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     Returns key, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the decoded text in UTF-8), and with ``with_ids`` the ids and
     the decoded text themselves.  ``path`` must name the same file on every machine.
-    A null text counts as empty: no tokens, digests of the empty string.  Rows that
-    repeat give repeated rows; other columns are not read.
+    A null text counts as empty: no tokens, digests of the empty string.  A null key stays
+    null; rows that repeat give repeated rows, and an empty table gives none.  Other columns
+    are not read, so names like those of the results do no harm.  A text of any length is
+    encoded as a whole; its longest word takes some dozens of bytes of memory for each byte.
     """
-    document_batches(docs.sparkSession)
     fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
