@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
-from .store import Scratch, document_batches
+from .store import Scratch
 
 #: Perfect difference sets; every non-zero residue is a difference exactly once.
 COVERS = {
@@ -65,41 +65,17 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, id long, pos int")
 
 
-def _shared(anchors: DataFrame) -> DataFrame:
-    """(id, pos) of the anchors that stand in two documents or more; of whole documents, all but the first."""
+def _shared(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """(id, pos) of the anchors that stand in two documents or more; of whole documents, all but the first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = first_id = None
-        several = False  # the list that the last batch ended in has two documents
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # else its rows, all of one document
-        for batch in batches:
-            tok, ids, pos = (batch.column(i).to_numpy() for i in range(3))
-            if not len(tok):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-            ends = np.concatenate((first[1:], [len(tok)]))
-            goes_on = token is not None and tok[0] == token
-            firsts = ids[first]
-            if goes_on:
-                firsts[0] = first_id
-            multi = firsts != ids[ends - 1]
-            out = []
-            if goes_on:
-                multi[0] |= several
-                if multi[0]:
-                    out += [(i[p != WHOLE], p[p != WHOLE]) for i, p in held]
-            rows = np.repeat(multi, ends - first) & ((pos != WHOLE) | (ids != np.repeat(firsts, ends - first)))
-            out.append((ids[rows], pos[rows]))
-            if multi[-1]:
-                held = []
-            else:
-                held = (held if goes_on and len(first) == 1 else []) + [(ids[first[-1] :], pos[first[-1] :])]
-            token, first_id, several = tok[-1], firsts[-1], bool(multi[-1])
-            i, p = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(p)], names=["id", "pos"])
-
-    ordered = anchors.repartition("token").sortWithinPartitions("token", "id")
-    return ordered.mapInArrow(run, "id long, pos int")
+    Which anchors are shared is an aggregate that tasks combine before the shuffle, so a
+    passage that very many documents have is one row of each task.  The anchors are then
+    made again and joined to that table, a join whose hot keys Spark can split.
+    """
+    both = _anchors(texts, min_words).groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    known = scratch.write(both.filter("first < last").select("token", "first"))
+    scratch.reclaim()
+    return _anchors(texts, min_words).join(known, "token").filter((F.col("pos") != WHOLE) | (F.col("id") != F.col("first"))).select("id", "pos")
 
 
 def _spread(positions: np.ndarray, size: int, before: int, after: int) -> np.ndarray:
@@ -145,7 +121,7 @@ def repeated_windows(docs: DataFrame, min_words: int, scratch: Scratch) -> DataF
     A start of -1 says that the whole document repeats an earlier one.
     """
     texts = docs.filter("id IS NOT NULL")
-    shared = scratch.write(_shared(_anchors(texts, min_words)))
+    shared = scratch.write(_shared(texts, min_words, scratch))
     scratch.reclaim()
     # of whole documents that are equal, all but the one with the smallest id are settled already
     copies = shared.filter(F.col("pos") == WHOLE).select("id").distinct()
@@ -173,10 +149,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, key: str = "doc_id",
     Words are runs of characters outside 0x20 and 0x09-0x0D.  Null and empty texts have no
     words and an empty kept_text; a document shorter than ``min_words`` loses nothing, nor
     does one with a null key.  Keys are integers and name one text each; rows that repeat
-    are treated alike.  Columns named like the added ones are replaced.  Windows are
-    compared by 64-bit hashes.
+    are treated alike.  Columns named like the added ones are replaced.  An empty table stays
+    empty, and a text of any length is taken as a whole.  Windows are compared by 64-bit hashes.
     """
-    document_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "substring")
     docs = docs.drop(*(c for c in ("n_words", "n_removed", "kept_text", "_starts") if c not in (key, text)))
     starts = repeated_windows(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), min_words, scratch)
