@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textbuf
-from .store import document_batches
 
 
 def per_chunk(df: DataFrame, text: str, keep: list[str], schema: T.StructType, fn: Callable[[np.ndarray, np.ndarray], dict]) -> DataFrame:
@@ -20,7 +19,6 @@ def per_chunk(df: DataFrame, text: str, keep: list[str], schema: T.StructType, f
     an array or list for each further column of ``schema``.
     """
 
-    document_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -37,27 +37,17 @@ def _filesystem(spark: SparkSession, path: str):
 
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch for what is run inside; for plans whose rows are wide."""
+    """At most so many rows in an Arrow batch of what is run inside; for plans whose rows are wide."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-DOCUMENT_ROWS = 1000
-
-
-def document_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches hold ``DOCUMENT_ROWS`` at most in this session: their rows are whole documents.
-
-    A smaller setting stays; Spark's limit in bytes holds as well.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= DOCUMENT_ROWS:
-        spark.conf.set(name, str(DOCUMENT_ROWS))
+DOCUMENT_ROWS = 1000  # of an Arrow batch while tables are written: their rows may be whole documents
 
 
 class Scratch:
@@ -74,7 +64,8 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.dir}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with batch_rows(self.spark, DOCUMENT_ROWS):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

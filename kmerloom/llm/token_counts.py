@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import document_batches
 
 CACHE_WORDS = 250_000
 SPACE = "▁"  # stands for a space in vocabulary entries
@@ -157,7 +156,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
     as empty and has no tokens; repeated rows give repeated rows; other columns are not read.
     Each worker keeps two generations of ``CACHE_WORDS`` counted pre-tokens.
     """
-    document_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
