@@ -1,23 +1,26 @@
 """N-gram Jaccard join by T-occurrence search.
 
-The shingles of a document fall into S segments by their hash.  If two documents with n
-and m shingles have a Jaccard similarity of t or more, at most
-k = (1 - t) / (1 + t) * (n + m) shingles are in one of them only, so at least S - k of
-their segments are equal.  With an inverted list for each content of a segment, that is
-a T-occurrence problem with T = S - k.  DivideSkip splits the lists of a query in two: with
-T - 1 - j of them left out, a match must still show up in 1 + j of the other k + 1 + j,
-which are merged in document order.  A candidate is then probed in the lists that were
-left out by binary search, shingle by shingle in its sorted set, and stays if it reaches
-the required overlap.  As a segment holds several shingles, a passage that many documents
-share makes no long list among the merged ones; only near copies do.
+A document is a set of shingles, each of which names an inverted list.  If two documents
+have a Jaccard similarity of t or more, they share at least T = ceil(t n) of the n shingles
+of either.  DivideSkip splits the lists of a document in two.  All shingles stand in one
+global order, rare ones first; the last T - l of a document's, whose lists are long, are left
+out, and its other n - T + l are merged.  Two documents that match have l or more of the
+merged lists in common, with the l of the smaller one.  The merge counts in how many lists
+each pair meets, pairs that reach l are candidates, and these are probed by binary search,
+shingle by shingle in whole sorted sets, and stay if they reach the required overlap.
+
+The order is that of a sketch: how many documents have any shingle of the same bucket, of
+``BUCKETS`` whatever the input, over all documents.  Shared buckets only make the order a bit
+coarser; it is the same for every document, which is all that the count of lists rests on.
+So a passage that many documents share makes no short list, only near copies do.
 
 Groups of copies stay linear.  Equal sets are one class.  A first pass only links each
 class to the head and the hub of each short list (stars), and a second pass only looks at pairs
 whose components still differ, so nothing that could join two components is left out
 and the pairs within one are not made for them.  Pairs whose parity maps prove too many
-differences are passed over in both.  The links themselves all lie within components: who
-asks for them or for their number has all pairs of classes of each component compared,
-dealt over tasks in blocks.
+differences are passed over in both.  A hub of very many copies is dealt over tasks with its
+set sent to each.  The links themselves all lie within components: who asks for them or for
+their number has all pairs of classes of each component compared, dealt over tasks in blocks.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import types as T
 
 from . import textbuf
 from .graph import connected_components
+from .planes import from_planes, to_planes
 from .store import Scratch, batch_rows
 
 
@@ -60,38 +64,43 @@ def _shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nda
     return h, np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _segment_bits(k: np.ndarray) -> np.ndarray:
-    """Bits of the number of segments for k differences: above 1.5 * (k + 1), so that there are k + 1 + j that are not empty."""
-    return np.ceil(np.log2(1.5 * (k + 1) + 1)).astype(np.int64)
+BUCKETS = 1 << 20
+_SEGMENTS = 64
+_SLOTS = 256
 
 
-def _short_lists(h: np.ndarray, bounds: np.ndarray, bits: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the inverted lists that are merged for each document, and the document of each.
+def _common(n: np.ndarray | Column, num: int, den: int, integer, least) -> tuple:
+    """Of n shingles those that a match may lack, and l, the merged lists that a match has at least; both rise with n."""
+    lacks = integer((den - num) * n / den)
+    return lacks, least(1 + integer((lacks + 1) / 4), n - lacks)
 
-    ``h``: sorted sets; ``bits``: segments of each document are the leading bits of the hash.
-    Of each document the first k + 1 + j segments that are not empty, j = (k + 1) // 4.  Of two
-    matching documents, the one whose k + 1 + j end earlier has 1 + j among them that the other
-    has too.  If fewer are not empty, all come, and the empty ones by their number: these match
-    only others in the same state, which is the case that those k + 1 + j don't settle.
+
+def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """How common the shingles of each bucket are, in eighths of a power of two; one byte for each of ``BUCKETS``.
+
+    A task sends its whole sketch as ``_SEGMENTS`` rows; these are added up over at most
+    ``_SLOTS`` tasks' shares at first and then as a whole, so no group grows with the input.
     """
-    k = k + (k + 1) // 4
-    n = np.diff(bounds)
-    doc = np.repeat(np.arange(len(n)), n)
-    segment = h >> (np.uint64(64) - bits.astype(np.uint64))[doc]
-    first = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-    upto = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(textbuf.mix(h), out=upto[1:])
-    content = np.append(upto[first[1:]], upto[-1:]) - upto[first] if len(first) else upto[:0]
-    of = doc[first]
-    begin = np.searchsorted(of, np.arange(len(n) + 1))
-    keep = np.arange(len(first)) - begin[of] <= k[of]
-    name = lambda d, seg, what: textbuf.mix(what + textbuf.mix((bits[d].astype(np.uint64) << np.uint64(56)) + seg))
-    names, docs = [name(of[keep], segment[first[keep]], content[keep])], [of[keep]]
-    for d in np.flatnonzero((np.diff(begin) <= k) & (n > 0)).tolist():
-        empty = np.setdiff1d(np.arange(1 << int(bits[d]), dtype=np.uint64), segment[bounds[d] : bounds[d + 1]])
-        names.append(name(np.full(len(empty), d), empty, np.uint64(0)))
-        docs.append(np.full(len(empty), d))
-    return np.concatenate(names), np.concatenate(docs)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, buf, offs in textbuf.chunks(batch.column(0)):
+                seen += np.bincount((_shingle_sets(buf, offs, width)[0] >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        slot = TaskContext.get().partitionId() % _SLOTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([slot] * _SEGMENTS, pa.int32()), pa.array([to_planes(x) for x in np.split(seen, _SEGMENTS)], pa.binary())], names=["segment", "slot", "seen"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([from_planes(x) for x in group.column("seen")], axis=0)
+        return pa.table({"segment": group.column("segment")[:1], "slot": pa.array([0], pa.int32()), "seen": pa.array([to_planes(total)], pa.binary())})
+
+    schema = "segment int, slot int, seen binary"
+    shares = docs.select("text").mapInArrow(tally, schema).groupBy("segment", "slot").applyInArrow(add, schema)
+    total = sorted((r.segment, from_planes(pa.scalar(r.seen))) for r in shares.groupBy("segment").applyInArrow(add, schema).collect())
+    seen = np.concatenate([x for _, x in total]) if total else np.zeros(BUCKETS, np.int64)
+    return np.minimum(np.round(8 * np.log2(1 + seen)), 255).astype(np.uint8)
 
 
 MAP_LONGS = 8
@@ -126,6 +135,7 @@ class JaccardJoin:
     counted: DataFrame
 
 
+CROWD = 64  # pairs of one document that a task takes at most
 BLOCK = 512  # classes of a component that are compared with as many others in one task
 _COLUMNS = 4096
 
@@ -162,9 +172,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     Words are runs of characters outside 0x20 and 0x09-0x0D, with A-Z in lower case.  A
     document with fewer words than ``width`` has its whole sequence as its one shingle.  A
     null text or one without words has an empty set, is linked with nothing and is a
-    component of its own.  Rows with the same key are one document to the links; a null
-    key stays unlinked unless its set equals that of another.  Columns beside key and text
-    are not read.  Shingles are compared by 64-bit hashes.
+    component of its own.  Rows with the same key are one document to the links, and if
+    their texts differ, the smallest set (then the smallest hash) stands for all of them; a
+    null key stays unlinked unless its set equals that of another.  An empty table gives
+    empty results, a text of any length is taken as a whole, and columns beside key and text
+    are not read, whatever their names.  Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -172,7 +184,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     num, den = t.numerator, t.denominator
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
+    shared = spark.sparkContext.broadcast(_frequencies(docs, width))  # BUCKETS bytes
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_of = shared.value
         for batch in batches:
             for lo, hi, buf, offs in textbuf.chunks(batch.column(1)):
                 h, bounds = _shingle_sets(buf, offs, width)
@@ -182,23 +197,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
                     upto = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(textbuf.mix(h ^ np.uint64(salt)), out=upto[1:])
                     keys.append((upto[bounds[1:]] - upto[bounds[:-1]]).view(np.int64))
-                # differences from a match of any size; a match that is larger may use more segments, so all numbers in between are served
-                k = (den - num) * n // num
-                own, larger = _segment_bits(k), _segment_bits((den - num) * (n * den // num) // num)
-                parts = []
-                for more in range(int((larger - own).max(initial=0)) + 1):
-                    names, doc = _short_lists(h, bounds, own + more, k)
-                    some = (k > 0) & (own + more <= larger)
-                    parts.append((names[some[doc]], doc[some[doc]]))
-                names, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(doc, kind="stable")
-                ends = np.searchsorted(doc[order], np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(names[order].view(np.int64)))
+                lacks, least = _common(n, num, den, lambda x: np.floor(x).astype(np.int64), np.minimum)
+                # a set that no other than its equal can match needs no list
+                merged = np.where(n * den // num > n, np.minimum(lacks + least, n), 0)
+                doc = np.repeat(np.arange(len(n)), n)
+                rare = np.argsort((doc << 8) | order_of[(h >> np.uint64(44)).astype(np.int64)], kind="stable")
+                names = h[rare][np.arange(len(h)) - bounds[doc] < merged[doc]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(merged))).astype(np.int32)), pa.array(names.view(np.int64)))
                 maps = _parity_maps(h, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, keys), pa.array(n.astype(np.int64)), lists, *(pa.array(maps[:, i]) for i in range(MAP_LONGS))], names=["id", "ka", "kb", "n", "short", *MAPS])
 
     feats = scratch.write(docs.mapInArrow(features, "id long, ka long, kb long, n long, short array<long>, " + ", ".join(f"{m} long" for m in MAPS)))
-    filled = feats.filter("n > 0 AND id IS NOT NULL")
+    # of a key with several texts the smallest set stands for all of its rows
+    own = F.struct("n", "ka", "kb")
+    several = feats.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(own).alias("one"), F.max(own).alias("last")).filter("one != last").select(F.col("id").alias("_id"), F.col("one.ka").alias("_ka"), F.col("one.kb").alias("_kb"))
+    several = scratch.write(several)
+    settled = lambda df: df.join(several, F.col("id") == F.col("_id"), "left").filter("_id IS NULL OR (ka = _ka AND kb = _kb)").drop("_id", "_ka", "_kb")
+    filled = settled(feats.filter("n > 0 AND id IS NOT NULL"))
     classes = scratch.write(filled.groupBy("ka", "kb").agg(F.min("id").alias("class_id")))
     reps = filled.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
 
@@ -245,20 +260,28 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     feats = small
     scratch.reclaim()
 
-    # 1 + j of the smaller set: how many merged lists must have both
-    hits = lambda n: F.col("hits") >= 1 + F.floor((F.floor((den - num) * n / num) + 1) / 4)
+    # in how many merged lists both must stand, by the smaller set
+    hits = lambda n: F.col("hits") >= _common(n, num, den, F.floor, F.least)[1]
     # Whole sets, only of what stands in as many lists as its smallest match would need; sorted by hash for the probes.
     busy = lists.groupBy("rep").agg(F.count("*").alias("hits"), F.first("n").alias("n")).filter(hits(F.floor(num * F.col("n") / den))).select("rep")
     busy = scratch.write(busy)
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in textbuf.chunks(batch.column(1)):
                 h, bounds = _shingle_sets(buf, offs, width)
                 lists_ = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_], names=["rep", "tokens"])
+                key_of = []
+                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+                    upto = np.zeros(len(h) + 1, np.uint64)
+                    np.cumsum(textbuf.mix(h ^ np.uint64(salt)), out=upto[1:])
+                    key_of.append((upto[bounds[1:]] - upto[bounds[:-1]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, key_of), lists_], names=["rep", "ka", "kb", "tokens"])
 
     wanted = busy.select(F.col("rep").alias("id"))
-    sets = scratch.write(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets_of, "rep long, tokens array<long>"))
+    sets = docs.join(wanted, "id", "left_semi").mapInArrow(sets_of, "rep long, ka long, kb long, tokens array<long>")
+    sets = sets.join(several, F.col("rep") == F.col("_id"), "left").filter("_id IS NULL OR (ka = _ka AND kb = _kb)")
+    sets = scratch.write(sets.select("rep", "tokens").dropDuplicates(["rep"]))
     scratch.reclaim()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +303,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
             keep = (num + den) * overlap >= num * total
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(overlap[keep])], names=["a", "b", "overlap"])
 
+    def attach(pairs: DataFrame, side: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the columns of ``side`` for either end; an end of many pairs is dealt over tasks."""
+        written = pairs
+        for end, other in (("a", "b"), ("b", "a")):
+            crowd = written.groupBy(end).agg(F.ceil(F.count("*") / CROWD).alias("_parts")).filter("_parts > 1")
+            salted = pairs.join(crowd, end, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+            spread = side.withColumnRenamed("rep", end).join(crowd, end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+            named = [F.col(c).alias(f"{c}_{end}") for c in side.columns if c != "rep"]
+            pairs = salted.join(spread.select(end, "_salt", *named), [end, "_salt"]).drop("_salt")
+        return pairs
+
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("left"))
-        right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("right"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        both = attach(pairs, sets).select("a", "b", "tokens_a", "tokens_b")
         with batch_rows(spark, 128):  # a row holds two whole sets
             return scratch.write(both.mapInArrow(probe, "a long, b long, overlap long"))
 
@@ -298,8 +330,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     # either stands for some of the lists only, so a third of what a match has is enough here; the second pass settles the rest
     tried = tried.withColumn("hits", 3 * F.col("hits")).filter(hits(F.col("n"))).select("a", "b")
     sized = maps.join(busy, "rep", "left_semi").join(lists.select("rep", "n").distinct(), "rep")
-    for end in ("a", "b"):
-        tried = tried.join(sized.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), *(F.col(m).alias(f"{m}_{end}") for m in MAPS)), end)
+    tried = attach(scratch.write(tried), sized)
 
     def near(n_x: Column, n_y: Column, x: str, y: str) -> Column:
         """Differences that the parity maps prove are no more than a match can have."""
@@ -322,7 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     pairs = pairs.agg(F.count("*").alias("hits"), F.first(F.least("x.n", "y.n")).alias("n")).filter(hits(F.col("n"))).select("a", "b")
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     scratch.reclaim()
-    across = verified(pairs.join(known, ["a", "b"], "left_anti"))
+    across = verified(scratch.write(pairs.join(known, ["a", "b"], "left_anti")))
     joined = first.select("v", "component")
     if not across.isEmpty():
         place = joined.select("v", "component")
@@ -334,13 +365,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
         # a component of the first pass moves on with its smallest member; single classes come in here
         moved = joined.join(merged.select(F.col("v").alias("component"), F.col("component").alias("_m")), "component", "left").select("v", F.coalesce("_m", "component").alias("component"))
         joined = scratch.write(moved.unionByName(merged.join(joined.select("v"), "v", "left_anti")))
-    members = feats.select("id", "ka", "kb", F.col("n").alias("n_shingles")).join(classes, ["ka", "kb"], "left")
+    members = feats.join(several, F.col("id") == F.col("_id"), "left")
+    members = members.select("id", F.coalesce("_ka", "ka").alias("ka"), F.coalesce("_kb", "kb").alias("kb"), F.col("n").alias("n_shingles")).join(classes, ["ka", "kb"], "left")
     members = members.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "id")).otherwise(F.col("id")))
     members = members.join(joined.select(F.col("v").alias("class_id"), "component"), "class_id", "left")
     members = members.select(F.col("id").alias(key), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
     # Links: classes of a component in blocks by hash, and every two blocks together.
-    sizes = feats.filter("n > 0 AND id IS NOT NULL").select("id", "ka", "kb").distinct().groupBy("ka", "kb").agg(F.count("*").alias("size"))
+    sizes = settled(feats.filter("n > 0 AND id IS NOT NULL")).select("id", "ka", "kb").distinct().groupBy("ka", "kb").agg(F.count("*").alias("size"))
     sizes = sizes.join(classes, ["ka", "kb"]).select("class_id", "size")
     blocks = joined.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = joined.select(F.col("v").alias("rep"), "component").join(blocks, "component")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .planes import from_planes, to_planes
 from .store import Scratch, batch_rows
 
 PAD = 0  # two of these stand before every text
@@ -158,19 +159,6 @@ RUN = 4 << 20  # bytes of text that send their n-grams together
 BUCKET = 16 << 20  # bytes of text whose n-grams meet in a bucket
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """How many numbers, then all first bytes, all second ones and so on (small numbers leave runs of zeros), compressed."""
-    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return len(x).to_bytes(8, "little") + pa.compress(pa.py_buffer(flat), "zstd", asbytes=True)
-
-
-def _numbers(raw: pa.Scalar, dtype: type) -> np.ndarray:
-    raw, size = raw.as_buffer(), np.dtype(dtype).itemsize
-    n = int.from_bytes(raw[:8], "little")
-    flat = np.frombuffer(pa.decompress(raw.slice(8), n * size, "zstd"), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, n).T).view(dtype).reshape(-1)
-
-
 def _runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Keys, marks, bytes and offsets of consecutive texts, ``limit`` bytes together (or one text, if that is longer)."""
     held, size = [], 0
@@ -232,12 +220,12 @@ def score_by_words(docs: DataFrame, wanted: Column, key: str = "doc_id", text: s
         out = to_arrow_schema(packed_schema)
         for i, (keys, marks, buf, offs) in enumerate(_runs(batches, limit)):
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(out.field("keys").type)
-            row = {"run": (TaskContext.get().partitionId() << 32) + i, "marks": marks.tobytes(), "lengths": _planes(np.diff(offs)), "text": pa.compress(pa.py_buffer(np.ascontiguousarray(buf)), "zstd", asbytes=True), "n_bytes": len(buf)}
+            row = {"run": (TaskContext.get().partitionId() << 32) + i, "marks": marks.tobytes(), "lengths": to_planes(np.diff(offs)), "text": pa.compress(pa.py_buffer(np.ascontiguousarray(buf)), "zstd", asbytes=True), "n_bytes": len(buf)}
             yield pa.RecordBatch.from_arrays([lists if f.name == "keys" else pa.array([row[f.name]], f.type) for f in out], schema=out)
 
     def unpack(text: pa.Scalar, lengths: pa.Scalar, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams of a run in order, START first, the places of its words and pairs among them, and words of each text."""
-        offs = np.concatenate(([0], np.cumsum(_numbers(lengths, np.int64))))
+        offs = np.concatenate(([0], np.cumsum(from_planes(lengths, np.int64))))
         texts = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), pa.decompress(text.as_buffer(), n_bytes, "zstd"))
         word, pair, sizes = (np.concatenate(x) for x in zip(*(_grams(*chunk[2:]) for chunk in textbuf.chunks(texts)), strict=True))
         codes, at = np.unique(np.concatenate(([START], word, pair)), return_inverse=True)
@@ -254,20 +242,20 @@ def score_by_words(docs: DataFrame, wanted: Column, key: str = "doc_id", text: s
                 tally[0][0], tally[1][0] = np.count_nonzero(sizes), np.count_nonzero(sizes[marks])
                 cut = np.searchsorted(codes >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).tolist() + [len(codes)]
                 some = [b for b in range(1 << bits) if cut[b] < cut[b + 1]]
-                parts = [[_planes(np.diff(codes[cut[b] : cut[b + 1]], prepend=np.uint64(0))) for b in some], *([_planes(t[cut[b] : cut[b + 1]]) for b in some] for t in tally)]
+                parts = [[to_planes(np.diff(codes[cut[b] : cut[b + 1]], prepend=np.uint64(0))) for b in some], *([to_planes(t[cut[b] : cut[b + 1]]) for b in some] for t in tally)]
                 # words of the run, told once
                 told = [[n] + [0] * (len(some) - 1) for n in (len(words), int(mark.sum()))]
                 yield pa.RecordBatch.from_arrays([pa.array([run.as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in parts), *(pa.array(x, pa.int64()) for x in told)], names=["run", "bucket", "codes", "background", "target", "n_words", "n_wanted"])
 
     def reply(bucket: pa.Table) -> pa.Table:
         """Adds up what all runs sent to one bucket; each gets the counts of its own n-grams."""
-        parts = [np.cumsum(_numbers(c, np.uint64), dtype=np.uint64) for c in bucket.column("codes")]
+        parts = [np.cumsum(from_planes(c, np.uint64), dtype=np.uint64) for c in bucket.column("codes")]
         codes, at = np.unique(np.concatenate(parts), return_inverse=True)
         ends = np.cumsum([len(p) for p in parts])[:-1]
         out = {n: bucket.column(n) for n in ("run", "bucket", "n_words", "n_wanted")}
         for name in ("background", "target"):
-            sums = np.bincount(at, np.concatenate([_numbers(c, np.uint32) for c in bucket.column(name)])).astype(np.int64)
-            out[name] = pa.array([_planes(p) for p in np.split(sums[at], ends)], pa.binary())
+            sums = np.bincount(at, np.concatenate([from_planes(c, np.uint32) for c in bucket.column(name)])).astype(np.int64)
+            out[name] = pa.array([to_planes(p) for p in np.split(sums[at], ends)], pa.binary())
         distinct = int(np.count_nonzero(codes & np.uint64(1) == 0))
         out["n_distinct"] = pa.array([distinct] + [0] * (len(parts) - 1), pa.int64())
         return pa.table(out)
@@ -294,7 +282,7 @@ def score_by_words(docs: DataFrame, wanted: Column, key: str = "doc_id", text: s
         before = _before(words, bounds, 0)
         mean = []
         for name, total in (("target", n_wanted), ("background", n_words)):
-            counts = np.concatenate([_numbers(c, np.int64) for c in run.column(name)[1:]])
+            counts = np.concatenate([from_planes(c, np.int64) for c in run.column(name)[1:]])
             p1 = (counts[words] + 1) / (total + vocabulary)
             loss = np.log(counts[before] + prior) - np.log(counts[pairs] + prior * p1)
             upto = np.concatenate(([0.0], np.cumsum(loss)))

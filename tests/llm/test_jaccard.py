@@ -29,3 +29,12 @@ def test_edges_of_input(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in out}
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 7), 8: (1, 8)}
     assert ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).members.count() == 0
+
+
+def test_repeated_keys_long_texts_and_clashing_columns(spark):
+    long_ = " ".join(f"v{i % 5000}x{i}" for i in range(60_000))
+    rows = [(1, "a b c d e", 1), (1, "p q r s t u", 2), (2, "p q r s t u", 3), (3, "a b c d e", 4), (4, long_, 5), (5, long_ + " end", 6)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, t, "x", n) for i, t, n in order], "doc_id long, text string, component_id string, n int")
+        out = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(df, width=4, threshold=0.85).members.collect()}
+        assert out == {(1, 2, 1), (1, 3, 1), (2, 3, 2), (3, 2, 1), (4, 59_997, 4), (5, 59_998, 4)}
