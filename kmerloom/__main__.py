@@ -121,7 +121,7 @@ def run_qc(spark: SparkSession, o: argparse.Namespace) -> None:
     else:
         sinks.write_fastq(clean, outputs[2])
     if o.json:
-        sinks.to_json(report, o.json)
+        sinks.qc_json(report, o.json)
     print(sinks.summary(report, "Reads"))
 
 
@@ -136,7 +136,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         reference = fastx.scan(spark, o.reference, letters_only=True).select("seq") if o.reference else None
         report = A.evaluate(_contigs(spark, o.contigs), reference, o.min_length)
         if o.json:
-            sinks.to_json(report, o.json)
+            sinks.evaluation_json(report, o.contigs, o.reference, o.json)
         print(sinks.summary(report, "Assembly"))
     else:
         sinks.guard_paths([o.contigs, *o.reads], [o.out])

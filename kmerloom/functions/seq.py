@@ -185,6 +185,35 @@ def header_barcode(header: Column | str) -> Column:
     """Barcode of a linked read: a BX:Z: or BC:Z: token, else what stands after the first '#'; null without one."""
     h = _c(header)
     token = F.regexp_extract(h, r"(?:^|\s)B[XC]:Z:(\S*)", 1)
-    marked = F.regexp_extract(h, r"#([^\s/]*)", 1)
+    # the first word after the mark, up to a slash
+    marked = F.regexp_extract(h, r"#\s*([^\s/]*)", 1)
     raw = F.when(h.rlike(r"(?:^|\s)B[XC]:Z:"), token).when(F.instr(h, "#") > 0, marked)
-    return F.when(raw != "", F.regexp_replace(raw, r"-\d+$", ""))
+    clean = F.regexp_replace(raw, r"-[0-9]+$", "")
+    return F.when(clean != "", clean)
+
+
+#: Start and factor of the 64-bit FNV-1a hash.
+FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
+
+
+def barcode_number(barcode: Column | str) -> Column:
+    """A barcode as a long: two bits a base if it has 32 bases of ACGT at most, else its 64-bit FNV-1a hash; null stays null.
+
+    Longs hold the bits of unsigned numbers, so large ones are negative.
+    """
+    b = _c(barcode)
+    codes = F.transform(F.split(F.translate(F.upper(b), BASES, "0123"), ""), lambda x: F.try_element_at(F.array(*(F.lit(i).cast("long") for i in range(4))), x.try_cast("int") + 1))
+    packed = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 2).bitwiseOR(x))
+
+    # bytes times the factor modulo 2 ** 64, which is 2 ** 40 + 0x1B3, in halves that don't overflow
+    def step(a: Column, byte: Column) -> Column:
+        h = a.bitwiseXOR(byte)
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+        low_part = low * 0x1B3
+        high_part = (high * 0x1B3 + F.shiftrightunsigned(low_part, 32) + F.shiftleft(low, 8)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft(high_part, 32).bitwiseOR(low_part.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    raw = F.hex(F.encode(b, "UTF-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("long"))
+    hashed = F.aggregate(octets, F.lit(FNV_START - (1 << 64)).cast("long"), step)
+    return F.when(b.rlike(rf"^[{BOTH_CASES}]{{1,32}}$"), packed).when(b != "", hashed)

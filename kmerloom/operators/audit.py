@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .kmers import kmer_rows
+from .packed import kmer_codes, kmer_tallies
 
 
 def locus_recovery(loci: DataFrame, contigs: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
@@ -14,10 +14,10 @@ def locus_recovery(loci: DataFrame, contigs: DataFrame, k: int = 25, key: str =
 
     Of equal contigs the first, in the order of ids; a locus without hits has no contig.
     """
-    own = kmer_rows(loci, k, [key]).select(F.col(key).alias("locus"), "pos", "canon")
+    own = kmer_tallies(loci, k, [key]).select(F.col(key).alias("locus"), "canon", "n")
     total = loci.select(F.col(key).alias("locus"), F.greatest(F.length("seq") - k + 1, F.lit(0)).cast("long").alias("positions"))
-    have = kmer_rows(contigs, k, ["id"], "sequence").select(F.col("id").alias("contig"), "canon").distinct()
-    hits = own.join(have, "canon").groupBy("locus", "contig").agg(F.count("*").alias("covered"))
+    have = kmer_tallies(contigs, k, ["id"], "sequence").select(F.col("id").alias("contig"), "canon").distinct()
+    hits = own.join(have, "canon").groupBy("locus", "contig").agg(F.sum("n").alias("covered"))
     w = W.Window.partitionBy("locus").orderBy(F.desc("covered"), "contig")
     best = hits.withColumn("n", F.row_number().over(w)).filter("n = 1").select("locus", F.col("contig").alias("best_contig"), "covered")
     out = total.join(best, "locus", "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
@@ -30,32 +30,37 @@ def recovery_class(percent: Column, intact: float = 95.0, partial: float = 50.0,
 
 def positional_recovery(loci: DataFrame, contigs: DataFrame, k: int = 31, key: str = "id") -> DataFrame:
     """(locus, covered, positions, percent): distinct positions of a locus whose k-mer any contig has on either strand."""
-    own = kmer_rows(loci, k, [key]).select(F.col(key).alias("locus"), "pos", "canon")
-    have = kmer_rows(contigs, k, seq="sequence").select("canon").distinct()
-    hits = own.join(have, "canon", "left_semi").groupBy("locus").agg(F.countDistinct("pos").alias("covered"))
+    own = kmer_tallies(loci, k, [key]).select(F.col(key).alias("locus"), "canon", "n")
+    have = kmer_tallies(contigs, k, seq="sequence").select("canon").distinct()
+    hits = own.join(have, "canon", "left_semi").groupBy("locus").agg(F.sum("n").alias("covered"))
     total = loci.select(F.col(key).alias("locus"), F.greatest(F.length("seq") - k + 1, F.lit(0)).cast("long").alias("positions"))
     out = total.join(hits, "locus", "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
     return out.withColumn("percent", F.when(F.col("positions") > 0, 100.0 * F.col("covered") / F.col("positions")).otherwise(0.0))
 
 
-def replicon_recovery(loci: DataFrame, plasmids: DataFrame, chromosomes: DataFrame, k: int = 31, key: str = "id") -> DataFrame:
-    """(locus, in_plasmids, in_chromosomes): positions found in either set."""
-    a = positional_recovery(loci, plasmids, k, key).select("locus", F.col("covered").alias("in_plasmids"))
+def replicon_recovery(loci: DataFrame, plasmids: DataFrame, chromosomes: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
+    """(locus, positions, in_plasmids, in_chromosomes, plasmid_percent, chromosome_percent): k-mer positions of a replicon that either set has."""
+    a = positional_recovery(loci, plasmids, k, key).select("locus", "positions", F.col("covered").alias("in_plasmids"))
     b = positional_recovery(loci, chromosomes, k, key).select("locus", F.col("covered").alias("in_chromosomes"))
-    return a.join(b, "locus")
+    share = lambda c: 100.0 * F.col(c) / F.greatest("positions", F.lit(1))
+    return a.join(b, "locus").select("locus", "positions", "in_plasmids", "in_chromosomes", share("in_plasmids").alias("plasmid_percent"), share("in_chromosomes").alias("chromosome_percent"))
 
 
 def operon_bridging(flanks: DataFrame, contigs: DataFrame, k: int = 31, every: int = 10, least: int = 3) -> DataFrame:
-    """(operon, status): BRIDGED if one contig has hits in both flanks and inside, PARTIAL if inside only, UNCOVERED.
+    """(operon, status, contig): BRIDGED if a contig has ``least`` hits in both flanks and any inside, PARTIAL if inside only, UNCOVERED.
 
-    ``flanks(operon, part, seq)`` with part in 'left', 'inside', 'right'.
+    ``flanks(operon, part, seq)`` with part in 'left', 'inside', 'right'; every ``every``-th
+    window is looked up, and each place of it in a contig is a hit.  The contig is the first
+    that bridges, by id, else the one with the most hits inside, else null.
     """
-    own = kmer_rows(flanks, k, ["operon", "part"]).filter(F.col("pos") % every == 0).select("operon", "part", "pos", "canon")
-    have = kmer_rows(contigs, k, ["id"], "sequence").select("id", "canon").distinct()
-    hits = own.join(have, "canon").groupBy("operon", "id").agg(*(F.sum((F.col("part") == p).cast("long")).alias(p) for p in ("left", "inside", "right")))
-    per = hits.groupBy("operon").agg(F.max((F.col("left") >= least) & (F.col("right") >= least) & (F.col("inside") > 0)).alias("bridged"), F.max(F.col("inside") > 0).alias("inside"))
+    own = kmer_codes(flanks, k, ["operon", "part"], every=every).select("operon", "part", "canon")
+    have = kmer_tallies(contigs, k, ["id"], "sequence")
+    hits = own.join(have, "canon").groupBy("operon", "id").agg(*(F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(p) for p in ("left", "inside", "right")))
+    hits = hits.filter("inside > 0").withColumn("_bridges", (F.col("left") >= least) & (F.col("right") >= least))
+    per = hits.groupBy("operon").agg(F.min(F.when(F.col("_bridges"), F.col("id"))).alias("_bridge"), F.max(F.struct("inside", F.negate("id").alias("_id"))).alias("_most"))
     out = flanks.select("operon").distinct().join(per, "operon", "left")
-    return out.select("operon", F.when(F.coalesce("bridged", F.lit(False)), "BRIDGED").when(F.coalesce("inside", F.lit(False)), "PARTIAL").otherwise("UNCOVERED").alias("status"))
+    status = F.when(F.col("_bridge").isNotNull(), "BRIDGED").when(F.col("_most").isNotNull(), "PARTIAL").otherwise("UNCOVERED")
+    return out.select("operon", status.alias("status"), F.coalesce("_bridge", F.negate(F.col("_most._id"))).alias("contig"))
 
 
 # Intervals: closed, with chrom, start and end
@@ -101,10 +106,10 @@ def overlap_join(left: DataFrame, right: DataFrame, slack: int = 0, width: int =
     return a.join(b, on & meet & (F.col("_bin") == first)).drop("_bin", "_rbin")
 
 
-def contained(inner: DataFrame, outer: DataFrame, slack: int = 30, width: int = 4096) -> DataFrame:
-    """Pairs where the right interval holds the left one, up to ``slack`` bases at either end."""
-    pairs = overlap_join(inner, outer, slack, width)
-    return pairs.filter((F.col("r_start") <= F.col("l_start") + slack) & (F.col("r_end") >= F.col("l_end") - slack))
+def contained(inner: DataFrame, outer: DataFrame, flank: int = 30, width: int = 4096) -> DataFrame:
+    """Pairs where the right interval holds the left one with ``flank`` bases more at either end."""
+    pairs = overlap_join(inner, outer, 0, width)
+    return pairs.filter((F.col("r_start") <= F.col("l_start") - flank) & (F.col("r_end") >= F.col("l_end") + flank))
 
 
 def longest_overlap(genes: DataFrame, alignments: DataFrame, key: str, width: int = 4096) -> DataFrame:
@@ -115,23 +120,30 @@ def longest_overlap(genes: DataFrame, alignments: DataFrame, key: str, width: in
     return genes.select(key).join(best, key, "left").select(key, F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
-def gene_span(genes: DataFrame, alignments: DataFrame, key: str, slack: int = 30) -> DataFrame:
-    """(key, spanned, percent, bucket): whether one alignment holds the gene, and how much the longest covers."""
-    held = contained(genes, alignments, slack).select(F.col(f"l_{key}").alias(key)).distinct().withColumn("_s", F.lit(True))
-    over = longest_overlap(genes, alignments, key)
+def gene_span(genes: DataFrame, alignments: DataFrame, key: str, flank: int = 30, width: int = 4096) -> DataFrame:
+    """(key, spanned, percent, bucket): whether one alignment holds the gene and its flanks, and how much of the gene the longest covers."""
+    held = contained(genes, alignments, flank, width).select(F.col(f"l_{key}").alias(key)).distinct().withColumn("_s", F.lit(True))
+    over = longest_overlap(genes, alignments, key, width)
     out = genes.select(key, (F.col("end") - F.col("start") + 1).alias("_n")).join(over, key).join(held, key, "left")
     percent = 100.0 * F.col("overlap") / F.col("_n")
     bucket = F.when(percent >= 99, ">=99").when(percent >= 95, ">=95").when(percent >= 50, ">=50").otherwise("<50")
     return out.select(key, F.coalesce("_s", F.lit(False)).alias("spanned"), percent.alias("percent"), bucket.alias("bucket"))
 
 
-def centromere_synteny(centromeres: DataFrame, alignments: DataFrame, key: str, flank: int = 200) -> DataFrame:
-    """(key, status): INTACT with ``flank`` bases on both sides in one alignment, MARGINAL with less, SPLIT without."""
-    pairs = contained(centromeres, alignments, 0)
-    margin = F.least(F.col("l_start") - F.col("r_start"), F.col("r_end") - F.col("l_end"))
-    best = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.max(margin).alias("_m"))
-    status = F.when(F.col("_m").isNull(), "SPLIT").when(F.col("_m") >= flank, "INTACT").otherwise("MARGINAL")
-    return centromeres.select(key).join(best, key, "left").select(key, status.alias("status"))
+def centromere_synteny(centromeres: DataFrame, alignments: DataFrame, key: str, flank: int = 200, width: int = 4096) -> DataFrame:
+    """(key, status, left_flank, right_flank, contig): INTACT with ``flank`` bases on both sides in one alignment, MARGINAL with less, SPLIT without.
+
+    Of several alignments that hold it, the one whose smaller flank is the largest, then the
+    larger sum, then the smaller contig; flanks are 0 and the contig null without any.
+    """
+    pairs = contained(centromeres, alignments, 0, width)
+    left, right = F.col("l_start") - F.col("r_start"), F.col("r_end") - F.col("l_end")
+    w = W.Window.partitionBy(f"l_{key}").orderBy(F.desc(F.least(left, right)), F.desc(left + right), "r_contig")
+    best = pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.col(f"l_{key}").alias(key), left.alias("left_flank"), right.alias("right_flank"), F.col("r_contig").alias("contig"))
+    out = centromeres.select(key).join(best, key, "left")
+    status = F.when(F.col("left_flank").isNull(), "SPLIT").when(F.least("left_flank", "right_flank") >= flank, "INTACT").otherwise("MARGINAL")
+    zero = F.lit(0).cast("long")
+    return out.select(key, status.alias("status"), F.coalesce("left_flank", zero).alias("left_flank"), F.coalesce("right_flank", zero).alias("right_flank"), "contig")
 
 
 # Species
@@ -145,25 +157,25 @@ def species_purity(alignments: DataFrame) -> DataFrame:
 
 def assign_species(reads: DataFrame, references: DataFrame, k: int = 31, every: int = 10, key: str = "id") -> DataFrame:
     """(key, species): the first species, by order, that any probed k-mer of the read is in; ``references(order, species, seq)``."""
-    have = kmer_rows(references, k, ["order", "species"]).groupBy("canon").agg(F.min(F.struct("order", "species")).alias("s"))
-    own = kmer_rows(reads, k, [key]).filter(F.col("pos") % every == 0).select(key, "canon")
+    have = kmer_tallies(references, k, ["order", "species"]).groupBy("canon").agg(F.min(F.struct("order", "species")).alias("s"))
+    own = kmer_codes(reads, k, [key], every=every).select(key, "canon")
     return own.join(have, "canon").groupBy(key).agg(F.min("s").alias("s")).select(key, "s.species")
 
 
 def identity_rate(reads: DataFrame, reference: DataFrame, k: int = 31, key: str = "id") -> DataFrame:
     """One row: reads, those with any k-mer of the reference, and their percent."""
-    have = kmer_rows(reference, k).select("canon").distinct()
-    hit = kmer_rows(reads, k, [key]).join(have, "canon", "left_semi").select(key).distinct()
+    have = kmer_tallies(reference, k).select("canon").distinct()
+    hit = kmer_tallies(reads, k, [key]).join(have, "canon", "left_semi").select(key).distinct()
     counts = reads.select(key).distinct().join(hit.withColumn("_h", F.lit(1)), key, "left").agg(F.count("*").alias("n_reads"), F.count("_h").alias("n_matching"))
     return counts.withColumn("percent", F.when(F.col("n_reads") > 0, 100.0 * F.col("n_matching") / F.col("n_reads")).otherwise(0.0))
 
 
 def coverage_dynamics(headers: DataFrame) -> DataFrame:
     """One row of the coverages in contig headers: least, upper median, 95th percentile by rank, largest, fold."""
-    c = headers.select(F.regexp_extract("header", r"cov_([0-9.]+)", 1).cast("double").alias("cov")).filter("cov IS NOT NULL")
+    c = headers.select(F.regexp_extract("header", r"cov_([^_\s]*)", 1).alias("_t")).select(F.expr("try_cast(_t AS double)").alias("cov")).filter("cov IS NOT NULL")
     bins = c.groupBy("cov").agg(F.count("*").alias("n"))
     ladder = bins.withColumn("upto", F.sum("n").over(W.Window.orderBy("cov").rowsBetween(W.Window.unboundedPreceding, 0)))
     total = bins.agg(F.sum("n").alias("total"))
     j = ladder.crossJoin(total)  # one row
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("total") * share), F.col("cov")))
-    return j.agg(F.min("cov").alias("low"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("cov").alias("high")).withColumn("fold", F.when(F.col("low") > 0, F.col("high") / F.col("low")))
+    return j.agg(F.min("cov").alias("low"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("cov").alias("high")).withColumn("fold", F.col("high") / F.greatest("low", F.lit(0.1)))

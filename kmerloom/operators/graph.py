@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions import seq as S
-from .kmers import mean_coverage
+from . import packed
+from .kmers import _keyed, mean_coverage
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,16 +31,66 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a table in the shared folder, so a lost executor costs only its own tasks.
 
     A table rather than a checkpoint: its plan starts without the constraints that an
-    iteration would otherwise carry on and multiply.
+    iteration would otherwise carry on and multiply.  It goes with its ``scope``, else with
+    the driver.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_remove, df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator:
+    """Removes the tables that were cut inside when it ends, but for those given to what it yields."""
+    _SCOPES.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        df = df if hasattr(df, "_cut_path") else cut(df)
+        kept.append(df._cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _SCOPES.pop()
+        for path in paths:
+            if path not in kept:
+                _remove(spark, path)
+        for path in kept:
+            if _SCOPES:
+                _SCOPES[-1].append(path)
+            else:
+                atexit.register(_remove, spark, path)
+
+
+def numbered(df: DataFrame, by: list, then: list | None = None, name: str = "id", start: int = 0) -> DataFrame:
+    """The rows with their number in an order, from ``start`` on, without a task that sees them all.
+
+    Ranges of ``by`` are dealt to tasks and sorted there by ``then`` (which refines ``by``);
+    each row's number is its place in its range after the rows of those before.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*(then or by)).withColumn("_place", F.monotonically_increasing_id())
+    rows = cut(ranged).withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    # a row for each range
+    ahead = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_ahead"))
+    out = rows.join(F.broadcast(ahead), "_range").withColumn("_n", (F.col("_ahead") + F.col("_place") + start).cast("long"))
+    return out.drop("_range", "_place", "_ahead", *([name] if name in df.columns else [])).withColumnRenamed("_n", name)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -65,6 +121,9 @@ def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataF
         moved = state.join(up, "anc").select("node", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("anc2").isNotNull().alias("_open"))
         moved = cut(moved)
         open_ = moved.filter("_open").count()
+        if done > 1:
+            _remove(nodes.sparkSession, last)
+        last = moved._cut_path
         state = moved.drop("_open")
         # after 2**done steps whoever is on a list has reached its head; the others go round
         if 2**done > left:
@@ -84,52 +143,108 @@ def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataF
 # K-mer graph
 
 
+def oriented(kmers: DataFrame, k: int) -> DataFrame:
+    """(node, turned, canon, prefix, suffix, base, others): both strands of packed canonical k-mers.
+
+    prefix and suffix are the packed k - 1 bases at either end, base the last one; other
+    columns come along.  A palindrome is one node.
+    """
+    kmers = _keyed(kmers, k)
+    rest = [f for f in kmers.schema if f.name != "kmer"]
+    key, end = packed.key_type(k), packed.key_type(max(k - 1, 1))
+    fields = [T.StructField("node", key), T.StructField("turned", key), T.StructField("canon", key), T.StructField("prefix", end), T.StructField("suffix", end), T.StructField("base", T.StringType())]
+    schema = T.StructType([*fields, *rest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            fwd = packed.from_arrow(batch.column(0), k)
+            rev = packed.turned(fwd, k)
+            own = np.arange(len(fwd))
+            second = np.flatnonzero((fwd != rev).any(1))
+            node, turned, own = np.concatenate((fwd, rev[second])), np.concatenate((rev, fwd[second])), np.concatenate((own, second))
+            text = packed.letters(node, k)
+            base = packed.strings(np.ascontiguousarray(text[:, -1:]))
+            arrays = [packed.to_arrow(node, k), packed.to_arrow(turned, k), packed.to_arrow(fwd[own], k)]
+            arrays += [packed.to_arrow(packed.repacked(text[:, cut_], k - 1), k - 1) for cut_ in (slice(0, k - 1), slice(1, k))]
+            arrays += [base, *(c.take(pa.array(own)) for c in batch.columns[1:])]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, out, strict=True)], schema=out)
+
+    return kmers.select("kmer", *(f.name for f in rest)).mapInArrow(run, schema)
+
+
+def junctions(nodes: DataFrame) -> DataFrame:
+    """(over, n_in, n_out, src, src_turned, dst): how many nodes end and begin with the same k - 1 bases, and one of each.
+
+    All that end so lead to all that begin so, so these counts are the degrees of them all,
+    and no edge has to be made to know them.
+    """
+    none = F.lit(None).cast(nodes.schema["node"].dataType)
+    ends = nodes.select(F.col("suffix").alias("over"), F.col("node").alias("src"), F.col("turned").alias("src_turned"), none.alias("dst"))
+    starts = nodes.select(F.col("prefix").alias("over"), none.alias("src"), none.alias("src_turned"), F.col("node").alias("dst"))
+    return ends.unionByName(starts).groupBy("over").agg(F.count("src").alias("n_in"), F.count("dst").alias("n_out"), F.min("src").alias("src"), F.min("src_turned").alias("src_turned"), F.min("dst").alias("dst"))
+
+
 def adjacency(kmers: DataFrame, k: int) -> DataFrame:
-    """(src, dst): oriented k-mers of the set that overlap in k - 1 bases.
+    """(src, dst): oriented packed k-mers of the set that overlap in k - 1 bases.
 
     ``kmers(kmer)`` holds canonical forms; both strands of each are nodes.
     """
-    strands = F.when(F.col("kmer") == S.revcomp("kmer"), F.array("kmer")).otherwise(F.array("kmer", S.revcomp("kmer")))
-    nodes = kmers.select(F.explode(strands).alias("node"))
-    left = nodes.select(F.col("node").alias("src"), F.right("node", F.lit(k - 1)).alias("over"))
-    right = nodes.select(F.col("node").alias("dst"), F.left("node", F.lit(k - 1)).alias("over"))
+    nodes = oriented(kmers.select("kmer"), k)
+    left = nodes.select(F.col("node").alias("src"), F.col("suffix").alias("over"))
+    right = nodes.select(F.col("node").alias("dst"), F.col("prefix").alias("over"))
     return left.join(right, "over").select("src", "dst")
 
 
-def unambiguous(edges: DataFrame) -> DataFrame:
+def out_degrees(kmers: DataFrame, k: int) -> DataFrame:
+    """(out_degree, n_nodes): how many oriented k-mers have how many successors; those without any are left out."""
+    at = junctions(oriented(kmers.select("kmer"), k)).filter("n_in > 0 AND n_out > 0")
+    return at.groupBy(F.col("n_out").alias("out_degree")).agg(F.sum("n_in").alias("n_nodes"))
+
+
+def unambiguous(nodes: DataFrame) -> DataFrame:
     """(prev, node): edges that are the only one out of their source and the only one into their target, but for those from a node to itself or to its own other strand."""
-    out = W.Window.partitionBy("src")
-    into = W.Window.partitionBy("dst")
-    e = edges.withColumn("n_out", F.count("*").over(out)).withColumn("n_in", F.count("*").over(into))
-    return e.filter("n_out = 1 AND n_in = 1 AND src != dst").filter(F.col("dst") != S.revcomp("src")).select(F.col("src").alias("prev"), F.col("dst").alias("node"))
+    sole = junctions(nodes).filter("n_in = 1 AND n_out = 1 AND src != dst AND dst != src_turned")
+    return sole.select(F.col("src").alias("prev"), F.col("dst").alias("node"))
+
+
+RANGE_BASES = 64
 
 
 def _number(seqs: DataFrame) -> DataFrame:
     """ids from 0 in the order of length (longest first), then sequence."""
-    w = W.Window.orderBy(F.desc(F.length("sequence")), "sequence", F.desc("mean_coverage"), "kmers_count")
-    return seqs.withColumn("id", (F.row_number().over(w) - 1).cast("long")).select("id", "sequence", "mean_coverage", "kmers_count")
+    size = F.negate(F.length("sequence"))
+    out = numbered(seqs.select("sequence", "mean_coverage", "kmers_count"), [size, F.left("sequence", F.lit(RANGE_BASES))], [size, "sequence", F.desc("mean_coverage"), "kmers_count"])
+    return out.select("id", "sequence", "mean_coverage", "kmers_count")
+
+
+PIECE = 4096  # bases of a path that are put in order together
 
 
 def unitigs(counts: DataFrame, k: int) -> DataFrame:
     """Maximal unambiguous paths of solid k-mers as (id, sequence, mean_coverage, kmers_count).
 
-    ``counts(kmer, cnt)`` holds canonical forms.  Each k-mer is in one unitig; of the two
-    strands of a unitig the smaller sequence stays.  An isolated cycle starts at its
-    smallest k-mer.  A unitig's sequence becomes one value, so it must fit in memory.
+    ``counts(kmer, cnt)`` holds canonical forms, packed or as strings.  Each k-mer is in one
+    unitig; of the two strands of a unitig the smaller sequence stays.  An isolated cycle
+    starts at its smallest k-mer.  A unitig's sequence becomes one value, so it must fit in memory.
     """
-    counts = cut(counts)
-    nodes = counts.select(F.explode(F.array("kmer", S.revcomp("kmer"))).alias("node")).distinct()
-    links = cut(unambiguous(adjacency(counts, k)))
-    ranked = list_rank(nodes, links)
-    cover = counts.select("kmer", "cnt")
-    parts = ranked.join(cover, S.canonical("node") == F.col("kmer")).groupBy("head").agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.right("node", F.lit(1)).alias("base")))).alias("tail"), F.avg("cnt").alias("mean_coverage"), F.count("*").alias("kmers_count"), F.min(S.canonical("node")).alias("_least")
-    )
-    spelled = F.concat(F.left("head", F.lit(k - 1)), F.array_join(F.col("tail.base"), ""))
-    both = parts.select(spelled.alias("sequence"), "mean_coverage", "kmers_count", "_least")
-    # both strands of a path hold the same k-mers; a cycle may be spelled from either strand's smallest
-    best = both.groupBy("_least").agg(F.min("sequence").alias("sequence"), F.first("mean_coverage").alias("mean_coverage"), F.first("kmers_count").alias("kmers_count"))
-    return _number(best.withColumn("sequence", F.least("sequence", S.revcomp("sequence"))))
+    with scope(counts.sparkSession) as keep:
+        nodes = cut(oriented(counts.select("kmer", "cnt"), k))
+        links = cut(unambiguous(nodes))
+        ranked = list_rank(nodes.select("node"), links)
+        placed = ranked.join(nodes.select("node", "canon", "base", "cnt"), "node")
+        pieces = placed.groupBy("head", F.floor(F.col("rank") / PIECE).alias("piece")).agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "base"))), lambda x: x["base"]), "").alias("bases"), F.sum("cnt").alias("cnt"), F.count("*").alias("n"), F.min("canon").alias("low")
+        )
+        parts = pieces.groupBy("head").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "bases"))), lambda x: x["bases"]), "").alias("tail"), (F.sum("cnt") / F.sum("n")).alias("mean_coverage"), F.sum("n").alias("kmers_count"), F.min("low").alias("_least")
+        )
+        spelled = packed.decoded(parts, k, "head").withColumn("sequence", F.concat(F.left("head", F.lit(k - 1)), "tail"))
+        # both strands of a path hold the same k-mers; a cycle may be spelled from either strand's smallest
+        best = spelled.groupBy("_least").agg(F.min(F.least("sequence", S.revcomp("sequence"))).alias("sequence"), F.first("mean_coverage").alias("mean_coverage"), F.first("kmers_count").alias("kmers_count"))
+        return keep(_number(best))
 
 
 # Unitig graph
@@ -211,14 +326,15 @@ def upper_median(df: DataFrame, column: str) -> float | None:
 
 def simplify(contigs: DataFrame, k: int, min_coverage: float = 5.0, min_length: int = 0, rna: bool = False, max_rounds: int = 8) -> DataFrame:
     """Tips, bubbles and stitching until the number of contigs stays, then the length filter; ids anew."""
-    current = cut(contigs)
+    current = contigs if hasattr(contigs, "_cut_path") else cut(contigs)
     n = current.count()
     for _ in range(max_rounds):
         if not n:
             break
         median = upper_median(current, "mean_coverage")
         threshold = min(min_coverage, 2.0) if rna else max(0.15 * median, min_coverage)
-        current = cut(stitch(pop_bubbles(clip_tips(current, k, threshold), k, rna), k))
+        with scope(contigs.sparkSession) as keep:
+            current = keep(stitch(pop_bubbles(clip_tips(current, k, threshold), k, rna), k))
         after = current.count()
         if after == n:
             break
@@ -231,4 +347,4 @@ def length_filter(contigs: DataFrame, min_length: int) -> DataFrame:
     return _number(contigs.filter(F.length("sequence") >= min_length))
 
 
-__all__ = ["adjacency", "clip_tips", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "overlaps", "pop_bubbles", "simplify", "stitch", "unambiguous", "unitigs", "upper_median"]
+__all__ = ["adjacency", "clip_tips", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "numbered", "out_degrees", "overlaps", "pop_bubbles", "scope", "simplify", "stitch", "unambiguous", "unitigs", "upper_median"]

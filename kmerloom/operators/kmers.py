@@ -5,29 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from ..functions import seq as S
-
-_CODE = np.full(256, 4, np.uint8)
-for _i, _b in enumerate(b"ACGT"):
-    _CODE[_b] = _CODE[_b + 32] = _i
-
-_LETTER = np.frombuffer(b"ACGTA", np.uint8)
-
-CHUNK = 1 << 20
+from . import packed
 
 
 def kmer_rows(seqs: DataFrame, k: int, keep: list[str] | None = None, seq: str = "seq") -> DataFrame:
     """One row for each valid window: the ``keep`` columns, pos (from 0), kmer and its canonical form as strings.
 
-    For any k; windows with an ambiguous base are left out, null and shorter sequences give
-    none.  Windows are cut from whole Arrow buffers, a bounded piece at a time: a
-    substring expression would walk each sequence again for every window.
+    Windows with an ambiguous base are left out, null and shorter sequences give none.
+    ``packed.kmer_codes`` has the same in an eighth of the bytes, for what is joined or counted.
     """
     keep = keep or []
     schema = T.StructType([*(seqs.schema[c] for c in keep), T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType()), T.StructField("canon", T.StringType())])
@@ -38,104 +30,29 @@ def kmer_rows(seqs: DataFrame, k: int, keep: list[str] | None = None, seq: str =
         out = to_arrow_schema(schema)
         for batch in batches:
             column = batch.column(0).fill_null("")
-            for row, lo, text in _pieces(column, k):
-                codes = _CODE[text]
-                bad = np.concatenate(([0], np.cumsum(codes == 4)))
-                at = np.flatnonzero(bad[k:] == bad[:-k])
-                if not len(at):
-                    continue
-                fwd = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(_LETTER[codes], k)[at])
-                rev = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(_LETTER[3 - (codes & 3)][::-1], k)[len(text) - k - at])
-                smaller = fwd.view(f"S{k}")[:, 0] <= rev.view(f"S{k}")[:, 0]
-                canon = np.where(smaller[:, None], fwd, rev)
-                offsets = pa.py_buffer(np.arange(0, (len(at) + 1) * k, k, dtype=np.int32))
-                strings = [pa.Array.from_buffers(pa.string(), len(at), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]) for x in (fwd, canon)]
-                kept = [batch.column(i + 1).take(pa.array(np.full(len(at), row))).cast(out[i].type) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array((at + lo).astype(np.int32)), *strings], schema=out)
+            for b in packed.blocks(column, k, 1 << 15):
+                at, fwd, rev = packed.windows(b.buf, b.offs, k)
+                own = np.searchsorted(b.offs, at, "right") - 1
+                texts = [packed.strings(packed.letters(x, k)) for x in (fwd, packed.smaller(fwd, rev)[0])]
+                kept = [batch.column(i + 1).take(pa.array(b.rows[own])).cast(out[i].type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array((at - b.offs[own] + b.base[own]).astype(np.int32)), *texts], schema=out)
 
     return seqs.select(seq, *keep).mapInArrow(run, schema)
 
 
-def _pieces(column: pa.Array, k: int, size: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, start, bases) of pieces of each sequence that overlap in k - 1 bases."""
-    if not len(column):
-        return
-    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    for row in range(len(column)):
-        for lo in range(int(offs[row]), int(offs[row + 1]) - k + 1, size):
-            yield row, lo - int(offs[row]), buf[lo : min(lo + size + k - 1, int(offs[row + 1]))]
-
-
-def _packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every window of k codes as a number, forward and as reverse complement, by doubling."""
-    fwd, rev, width = codes.astype(np.uint64), 3 - codes.astype(np.uint64), 1
-    done_f = done_r = None
-    done = 0
-    left = k
-    while True:
-        if left & width:
-            if done == 0:
-                done_f, done_r = fwd, rev
-            else:
-                n = len(done_f) - width
-                done_f = (done_f[:n] << np.uint64(2 * width)) | fwd[done : done + n]
-                done_r = (rev[done : done + n] << np.uint64(2 * done)) | done_r[:n]
-            done += width
-            left -= width
-            if not left:
-                return done_f, done_r
-        n = len(fwd) - width
-        fwd, rev = (fwd[:n] << np.uint64(2 * width)) | fwd[width : width + n], (rev[width : width + n] << np.uint64(2 * width)) | rev[:n]
-        width *= 2
-
-
-def packed_kmers(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical k-mers (k of 31 or less) of consecutive sequences, and the place of each in ``buf``."""
-    n = len(buf) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = _CODE[buf]
-    bad = np.concatenate(([0], np.cumsum(codes == 4)))
-    owner_end = np.repeat(offs[1:], np.diff(offs))
-    at = np.arange(n)
-    valid = (bad[k:] == bad[:-k]) & (at + k <= owner_end[:n])
-    fwd, rev = _packed(codes & 3, k)
-    return np.minimum(fwd, rev)[valid].view(np.int64), at[valid]
-
-
 def count_packed(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer long, cnt long): canonical k-mers of 31 bases or less, two bits a base.
+    """(kmer, cnt long): canonical k-mers, two bits a base (see ``packed``).
 
-    Arrow batches are packed with numpy and counted within each piece before the shuffle;
-    the sums use Spark's partial aggregation.
+    They are counted within each piece of an Arrow batch before the shuffle; the sums use
+    Spark's partial aggregation.
     """
-    if not 1 <= k <= 31:
-        raise ValueError("packed k-mers have 1 to 31 bases")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0).fill_null("")
-            if not len(column):
-                continue
-            offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = column.buffers()[2]
-            buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-            lo = 0
-            while lo < len(column):
-                hi = min(len(column), max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK, "right")) - 1))
-                found, _ = packed_kmers(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
-                keys, counts = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["kmer", "cnt"])
-                lo = hi
-
-    return seqs.select(seq).mapInArrow(run, "kmer long, cnt long").groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    return packed.kmer_tallies(seqs, k, seq=seq).groupBy(F.col("canon").alias("kmer")).agg(F.sum("n").alias("cnt"))
 
 
-def count_kmers(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer string, cnt long): canonical k-mers of any length."""
-    return kmer_rows(seqs, k, seq=seq).groupBy(F.col("canon").alias("kmer")).agg(F.count("*").alias("cnt"))
+def count_kmers(seqs: DataFrame, k: int, seq: str = "seq", least: int = 1) -> DataFrame:
+    """(kmer string, cnt long): canonical k-mers that come ``least`` times or more; only these are spelled out."""
+    counts = count_packed(seqs, k, seq)
+    return packed.decoded(counts.filter(F.col("cnt") >= least) if least > 1 else counts, k)
 
 
 def seen_twice(counts: DataFrame) -> DataFrame:
@@ -148,11 +65,16 @@ def spectrum(counts: DataFrame) -> DataFrame:
     return counts.groupBy("cnt").agg(F.count("*").alias("n_kmers"))
 
 
+def _keyed(kmers: DataFrame, k: int) -> DataFrame:
+    """K-mers in packed form, whatever form they come in."""
+    return packed.encoded(kmers, k) if isinstance(kmers.schema["kmer"].dataType, T.StringType) else kmers
+
+
 def boost_priors(counts: DataFrame, priors: DataFrame, k: int, min_coverage: float, seq: str = "sequence") -> DataFrame:
-    """Counts with those of trusted sequences on top, each instance weighted by 4 * int(min_coverage), 50 at least."""
+    """Packed counts with those of trusted sequences on top, each instance weighted by 4 * int(min_coverage), 50 at least."""
     weight = max(4 * int(min_coverage), 50)
-    more = kmer_rows(priors, k, seq=seq).select(F.col("canon").alias("kmer"), F.lit(weight).cast("long").alias("cnt"))
-    return counts.select("kmer", "cnt").unionByName(more).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    more = packed.kmer_tallies(priors, k, seq=seq).select(F.col("canon").alias("kmer"), (F.col("n") * weight).alias("cnt"))
+    return _keyed(counts.select("kmer", "cnt"), k).unionByName(more).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def solid_cutoff(counts: DataFrame, min_coverage: float = 5.0) -> int:
@@ -192,26 +114,23 @@ def solid(counts: DataFrame, cutoff: int) -> DataFrame:
 
 
 def solid_instances(seqs: DataFrame, solid_kmers: DataFrame, k: int, keep: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """K-mer instances whose canonical form is solid."""
-    rows = kmer_rows(seqs, k, keep, seq)
-    return rows.join(solid_kmers.select(F.col("kmer").alias("canon")), "canon", "left_semi")
+    """(keep, pos, canon, flipped): k-mer instances whose canonical form, packed, is solid."""
+    rows = packed.kmer_codes(seqs, k, keep, seq)
+    return rows.join(_keyed(solid_kmers.select("kmer"), k).select(F.col("kmer").alias("canon")), "canon", "left_semi")
 
 
-def mean_coverage(seqs: DataFrame, counts: DataFrame, k: int, key: str = "id", seq: str = "sequence") -> DataFrame:
-    """(key, mean_coverage): mean count over a sequence's k-mers; one that is unknown counts 2."""
-    rows = kmer_rows(seqs, k, [key], seq)
-    known = rows.join(counts.select(F.col("kmer").alias("canon"), "cnt"), "canon", "left")
-    return known.groupBy(key).agg(F.avg(F.coalesce("cnt", F.lit(2))).alias("mean_coverage"))
+def solid_tallies(seqs: DataFrame, solid_kmers: DataFrame, k: int, key: str = "id", seq: str = "seq") -> DataFrame:
+    """(key, n_solid): how many k-mer instances of each sequence are solid; those without any are left out."""
+    own = packed.kmer_tallies(seqs, k, [key], seq)
+    met = own.join(_keyed(solid_kmers.select("kmer"), k).select(F.col("kmer").alias("canon")), "canon", "left_semi")
+    return met.groupBy(key).agg(F.sum("n").alias("n_solid"))
 
 
-def nth_value_exact(df: DataFrame, column: str, numerator: int, denominator: int) -> int | None:
-    """The value at 0-based rank n * numerator / denominator of a sorted column, by its histogram."""
-    bins = df.groupBy(column).count()
-    w = W.Window.orderBy(column).rowsBetween(W.Window.unboundedPreceding, 0)
-    upto = bins.withColumn("upto", F.sum("count").over(w))
-    total = df.count()
-    row = upto.filter(F.col("upto") > total * numerator // denominator).orderBy(column).first()
-    return None if row is None else row[0]
+def mean_coverage(seqs: DataFrame, counts: DataFrame, k: int, key: str = "id", seq: str = "sequence") -> DataFrame:
+    """(key, mean_coverage): mean count over a sequence's k-mers; one that is unknown counts 2."""
+    rows = packed.kmer_tallies(seqs, k, [key], seq)
+    known = rows.join(_keyed(counts.select("kmer", "cnt"), k).withColumnRenamed("kmer", "canon"), "canon", "left")
+    return known.groupBy(key).agg((F.sum(F.coalesce("cnt", F.lit(2)) * F.col("n")) / F.sum("n")).alias("mean_coverage"))
 
 
 # Error correction
@@ -221,34 +140,47 @@ BROADCAST_KMERS = 250_000  # a set of so many solid k-mers is sent to all tasks;
 
 
 def correct_read(read: str, k: int, is_solid, start: int = 0, once: bool = False) -> tuple[str, int, int]:
-    """A read with single substitutions that make its windows solid, left to right, their number, and the window to go on from.
-
-    For each window that is not solid, all substitutions within it are tried in place; the
-    one that makes the most windows over it solid wins if it gains any, the first of equals.
-    ``is_solid`` is asked for windows of either strand in upper case.
+    """A read after single substitutions that make its windows solid, left to right, their number, and the window to go on from.
+
+    A window that holds ACGT only and isn't solid is looked at: every substitution within it
+    that makes it solid counts the solid windows over its place, after and before.  The one
+    that gains the most wins if it gains any, the first of equals by place, then by base.
+    Windows with another character are never solid and never looked at, so such characters
+    stay; letters that aren't substituted keep their case.  ``is_solid`` is asked for
+    windows of either strand in upper case.
     """
     bases, changed = read.upper(), 0
     n = len(bases) - k + 1
-    for at in range(start, max(n, 0)):
-        if is_solid(bases[at : at + k]):
+    if k < 1 or n < 1:
+        return read, 0, 0
+    kept = list(read)
+    wrong = np.cumsum([0, *(c not in S.BASES for c in bases)])
+    valid = (wrong[k:] == wrong[:-k]).tolist()
+    solid = [v and is_solid(bases[i : i + k]) for i, v in enumerate(valid)]
+    for at in range(start, n):
+        if not valid[at] or solid[at]:
             continue
-        best, gain = None, 0
-        for pos in range(at, at + k):
+        window, best, most = bases[at : at + k], None, 0
+        for offset, old in enumerate(window):
+            pos = at + offset
             first, last = max(0, pos - k + 1), min(n - 1, pos)
-            before = sum([is_solid(bases[i : i + k]) for i in range(first, last + 1)])
-            for base in "ACGT":
-                if base == bases[pos]:
+            for base in S.BASES:
+                if base == old or not is_solid(window[:offset] + base + window[offset + 1 :]):
                     continue
-                tried = bases[:pos] + base + bases[pos + 1 :]
-                more = sum([is_solid(tried[i : i + k]) for i in range(first, last + 1)]) - before
-                if more > gain:
-                    best, gain = tried, more
-        if best:
-            bases = best
+                near = bases[first:pos] + base + bases[pos + 1 : last + k]
+                gain = sum(1 for i in range(first, last + 1) if valid[i] and is_solid(near[i - first : i - first + k])) - sum(solid[first : last + 1])
+                if gain > most:
+                    best, most = (pos, base), gain
+        if best is not None:
+            pos, base = best
+            kept[pos] = base
+            bases = bases[:pos] + base + bases[pos + 1 :]
+            for i in range(max(0, pos - k + 1), min(n - 1, pos) + 1):
+                solid[i] = valid[i] and is_solid(bases[i : i + k])
             changed += 1
             if once:
-                return bases, changed, at + 1
-    return (bases if changed else read), changed, max(n, 0)
+                return "".join(kept), changed, at + 1
+    return "".join(kept), changed, n
 
 
 def both_strands(kmers) -> frozenset[str]:
@@ -257,47 +189,90 @@ def both_strands(kmers) -> frozenset[str]:
     return frozenset(x for k in kmers for x in (k, k.translate(turn)[::-1]))
 
 
+def _near(seqs: list, solid: list, start: list, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each read that has a window to look at, the packed k-mers one substitution from the windows around it."""
+    for row, (text, own, at) in enumerate(zip(seqs, solid, start, strict=True)):
+        buf = np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)
+        place, fwd, rev = packed.windows(buf, np.array([0, len(buf)]), k)
+        canon = packed.smaller(fwd, rev)[0]
+        known = {x.tobytes() for x in packed.from_arrow(pa.array([] if own is None else own, packed_arrow(k)), k)}
+        open_ = np.array([p >= at and c.tobytes() not in known for p, c in zip(place.tolist(), canon, strict=True)], bool)
+        if open_.any():
+            wide = np.zeros(len(buf) + 1, np.int64)
+            np.add.at(wide, np.maximum(place[open_] - k + 1, 0), 1)
+            np.add.at(wide, np.minimum(place[open_] + k, len(buf)), -1)
+            some = np.cumsum(wide)[place] > 0
+            near = packed.neighbours(fwd[some], rev[some], k)
+            yield row, near[packed._distinct(near)[0]]
+
+
+def packed_arrow(k: int) -> pa.DataType:
+    return pa.int64() if k <= packed.NARROW else pa.binary()
+
+
 def correct_reads(reads: DataFrame, solid_kmers: DataFrame, k: int, key: str = "id", seq: str = "seq", broadcast_kmers: int = BROADCAST_KMERS) -> DataFrame:
-    """(key, seq, changed): reads after error correction.
+    """(key, seq, changed): reads after error correction by ``correct_read``.
 
     A solid set of ``broadcast_kmers`` at most goes to every task.  A larger one stays
-    distributed: a round joins the k-mers within one substitution of a read's windows to
-    it, makes its next change and goes on behind it, until no read changes.
+    distributed: a round joins the windows of the open reads to it, then the k-mers that are
+    one substitution from windows around one that isn't solid, makes the next change of each
+    read and goes on behind it, until no read changes.  Both give the same reads.  Null reads
+    and those shorter than k stay as they are; repeated keys and null keys do no harm.
     """
-    spark, kind = reads.sparkSession, reads.schema[key].dataType.simpleString()
-    state = reads.select(key, seq, F.lit(0).cast("long").alias("changed"), F.lit(0).cast("long").alias("_at"))
-    schema = f"{key} {kind}, {seq} string, changed long, _at long"
+    from .graph import cut
 
-    def apply(pdf, sets, once: bool):
-        done = [correct_read(s, k, known, int(at), once) if s is not None else (None, 0, 0) for s, at, known in zip(pdf[seq], pdf["_at"], sets, strict=True)]
-        return pdf.assign(**{seq: [d[0] for d in done], "changed": pdf["changed"] + [d[1] for d in done], "_at": [d[2] for d in done]})
-
-    if solid_kmers.limit(broadcast_kmers + 1).count() <= broadcast_kmers:
-        shared = spark.sparkContext.broadcast(both_strands(r[0] for r in solid_kmers.select("kmer").collect()))
+    spark, kind = reads.sparkSession, reads.schema[key].dataType.simpleString()
+    solid = _keyed(solid_kmers.select("kmer"), k).distinct()
+    if solid.limit(broadcast_kmers + 1).count() <= broadcast_kmers:
+        shared = spark.sparkContext.broadcast(both_strands(r[0] for r in packed.decoded(solid, k).collect()))
 
         def whole(batches):
+            known = shared.value.__contains__
             for pdf in batches:
-                yield apply(pdf, [shared.value.__contains__] * len(pdf), False)
+                done = [correct_read(s, k, known) if s is not None else (None, 0, 0) for s in pdf[seq]]
+                yield pdf.assign(**{seq: [d[0] for d in done], "changed": [d[1] for d in done]})
 
-        return state.mapInPandas(whole, schema).drop("_at")
+        return reads.select(key, seq).mapInPandas(whole, f"`{key}` {kind}, `{seq}` string, changed long")
 
-    bases = F.array(*[F.lit(b) for b in S.BASES])
+    solid = cut(solid.withColumnRenamed("kmer", "canon"))
+    key_sql = packed.key_type(k).simpleString()
+    schema = f"`{key}` {kind}, `{seq}` string, changed long, _at long, _row long"
+    pending = cut(reads.select(key, seq, F.lit(0).cast("long").alias("changed"), F.lit(0).cast("long").alias("_at"), F.monotonically_increasing_id().alias("_row")))
+    finished: list[DataFrame] = []
 
-    def rounds(batches):
+    def near(batches):
         for pdf in batches:
-            known = [both_strands(x).__contains__ if x is not None else (lambda _: False) for x in pdf["_solid"]]
-            yield apply(pdf.drop(columns="_solid"), known, True)
+            rows, codes = [], []
+            for row, found in _near(list(pdf[seq]), list(pdf["_own"]), list(pdf["_at"]), k):
+                rows += [pdf["_row"].iloc[row]] * len(found)
+                codes += packed.to_arrow(found, k).to_pylist()
+            yield pd.DataFrame({"_row": pd.Series(rows, dtype="int64"), "canon": pd.Series(codes, dtype="int64" if k <= packed.NARROW else object)})
+
+    def step(batches):
+        for pdf in batches:
+            done = []
+            for s, at, own, more in zip(pdf[seq], pdf["_at"], pdf["_own"], pdf["_more"], strict=True):
+                codes = [*(own if own is not None else []), *(more if more is not None else [])]
+                words = packed.from_arrow(pa.array(codes, packed_arrow(k)), k)
+                known = both_strands(packed.strings(packed.letters(words, k)).to_pylist()).__contains__
+                done.append(correct_read(s, k, known, int(at), True))
+            yield pdf.drop(columns=["_own", "_more"]).assign(**{seq: [d[0] for d in done], "changed": pdf["changed"] + [d[1] for d in done], "_at": [d[2] for d in done]})
 
     while True:
-        windows = kmer_rows(state, k, [key], seq).select(key, "kmer").distinct()
-        near = windows.select(key, "kmer", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i")).select(key, "kmer", "i", F.explode(bases).alias("b"))
-        near = near.select(key, F.concat(F.substring("kmer", F.lit(1), F.col("i") - 1), F.col("b"), F.substring("kmer", F.col("i") + 1, F.lit(k))).alias("kmer"))
-        own = near.select(key, S.canonical("kmer").alias("kmer")).distinct().join(solid_kmers.select("kmer"), "kmer", "left_semi")
-        own = own.groupBy(key).agg(F.collect_set("kmer").alias("_solid"))
-        from .graph import cut
-
-        before = state
-        state = state.join(own, key, "left").mapInPandas(rounds, schema)
-        state = cut(state)
-        if state.agg(F.sum("changed")).first()[0] == before.agg(F.sum("changed")).first()[0]:
-            return state.drop("_at")
+        own = packed.kmer_tallies(pending, k, ["_row"], seq).select("_row", "canon").distinct().join(solid, "canon", "left_semi")
+        held = cut(pending.join(own.groupBy("_row").agg(F.collect_list("canon").alias("_own")), "_row", "left"))
+        wanted = held.select("_row", seq, "_at", "_own").mapInPandas(near, f"_row long, canon {key_sql}")
+        more = wanted.join(solid, "canon", "left_semi").groupBy("_row").agg(F.collect_list("canon").alias("_more"))
+        both = cut(held.join(more, "_row", "left").select(key, seq, "changed", "_at", "_row", "_own", "_more"))
+        # a read without any solid neighbour can't change
+        finished.append(both.filter("_more IS NULL").select(key, seq, "changed"))
+        tried = cut(both.filter("_more IS NOT NULL").mapInPandas(step, schema))
+        length = F.length(seq) - k + 1
+        finished.append(tried.filter(F.col("_at") >= length).select(key, seq, "changed"))
+        pending = tried.filter(F.col("_at") < length)
+        if pending.isEmpty():
+            break
+    out = finished[0]
+    for df in finished[1:]:
+        out = out.unionByName(df)
+    return out

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import seq as S
 from .graph import cut, upper_median
-from .kmers import kmer_rows
+from .packed import kmer_codes
 
 
 def unique_anchors(contigs: DataFrame, k: int, per_contig: bool = False, key: str = "id", seq: str = "sequence") -> DataFrame:
-    """(canon, contig, pos, flipped): k-mers that name a place.
+    """(canon, contig, pos, flipped): packed k-mers that name a place.
 
     Strict: those that come once over all places.  ``per_contig``: those of one contig only,
     where repeats within it are allowed and the first place counts.
     """
-    rows = kmer_rows(contigs, k, [key], seq).select("canon", F.col(key).alias("contig"), "pos", (F.col("kmer") != F.col("canon")).alias("flipped"))
+    rows = kmer_codes(contigs, k, [key], seq).select("canon", F.col(key).alias("contig"), "pos", "flipped")
     first = F.min(F.struct("contig", "pos", "flipped")).alias("p")
     if per_contig:
         found = rows.groupBy("canon").agg(first, F.max("contig").alias("_hi")).filter(F.col("p.contig") == F.col("_hi"))
@@ -32,22 +31,19 @@ def polisher_anchors(contigs: DataFrame, k: int) -> DataFrame:
 
 
 def probes(reads: DataFrame, k: int, keep: list[str], seq: str = "seq", step: int | None = None) -> DataFrame:
-    """(keep, pos, kmer, canon): windows that are looked up for each read, in order.
+    """(keep, pos, canon, flipped): windows that are looked up for each read.
 
-    Every ``step``-th window (an eighth of the windows, 1 to 8) and the last one.
+    Every ``step``-th window only; without a step, an eighth of the windows (every 1st to
+    8th) and the last one.
     """
-    n = F.length(seq)
-    every = F.lit(step) if step else F.greatest(F.lit(1), F.least(F.lit(8), F.floor((n - k) / 8))).cast("int")
-    places = F.array_distinct(F.array_append(F.sequence(F.lit(0), n - k, every), (n - k).cast("int")))
-    at = reads.filter(n >= k).select(*keep, F.upper(seq).alias("_s"), F.explode(places).alias("pos"))
-    at = at.select(*keep, "pos", F.substring("_s", F.col("pos") + 1, F.lit(k)).alias("kmer"))
-    return at.filter(~F.col("kmer").rlike("[^ACGT]")).withColumn("canon", S.canonical("kmer"))
+    return kmer_codes(reads, k, keep, seq, probe=(step or 0, step is None))
 
 
 def map_reads(reads: DataFrame, anchors: DataFrame, k: int, key: str = "read_id", seq: str = "seq", step: int | None = None) -> DataFrame:
     """(key, contig, contig_pos, read_pos, same_strand): the first probe that meets an anchor."""
-    hits = probes(reads, k, [key], seq, step).join(anchors.withColumnRenamed("pos", "contig_pos"), "canon")
-    first = F.min(F.struct(F.col("pos").alias("read_pos"), "contig", "contig_pos", ((F.col("kmer") != F.col("canon")) == F.col("flipped")).alias("same_strand"))).alias("p")
+    places = anchors.select("canon", "contig", F.col("pos").alias("contig_pos"), F.col("flipped").alias("_turned"))
+    hits = probes(reads, k, [key], seq, step).join(places, "canon")
+    first = F.min(F.struct(F.col("pos").alias("read_pos"), "contig", "contig_pos", (F.col("flipped") == F.col("_turned")).alias("same_strand"))).alias("p")
     return hits.groupBy(key).agg(first).select(key, "p.contig", "p.contig_pos", "p.read_pos", "p.same_strand")
 
 
@@ -120,14 +116,13 @@ def seed_anchors(reads: DataFrame, contigs: DataFrame, k: int, gap: int = 1500,
     n_contigs = contigs.count()
     seed = min(max(k, 4), 15)
     step = min(5, max(seed // 3, 1))
-    places = kmer_rows(contigs, seed, ["id"], "sequence").select(F.col("id").alias("contig"), "kmer", "canon")
-    places = places.select("canon", "contig", (F.col("kmer") != F.col("canon")).alias("flipped")).groupBy("canon").agg(F.collect_set(F.struct("contig", "flipped")).alias("at"), F.count("*").alias("n"))
+    places = kmer_codes(contigs, seed, ["id"], "sequence").select("canon", F.col("id").alias("contig"), "flipped").groupBy("canon").agg(F.collect_set(F.struct("contig", "flipped")).alias("at"), F.count("*").alias("n"))
     if n_contigs > 10:
         places = places.filter("n <= 5")
-    places = places.select("canon", F.explode("at").alias("a")).select("canon", "a.contig", "a.flipped")
+    places = places.select("canon", F.explode("at").alias("a")).select("canon", "a.contig", F.col("a.flipped").alias("_turned"))
     least_len = max(500, 2 * seed) if n_contigs > 3 else 2 * seed
-    own = kmer_rows(reads.filter(F.length("seq") >= least_len), seed, [key], "seq").filter(F.col("pos") % step == 0)
-    hits = own.join(places, "canon").select(key, "contig", ((F.col("kmer") != F.col("canon")) != F.col("flipped")).alias("rc"), "pos").distinct()
+    own = kmer_codes(reads.filter(F.length("seq") >= least_len), seed, [key], "seq", every=step)
+    hits = own.join(places, "canon").select(key, "contig", (F.col("flipped") != F.col("_turned")).alias("rc"), "pos").distinct()
     w = W.Window.partitionBy(key, "contig", "rc").orderBy("pos")
     marked = hits.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > gap).cast("int"), F.lit(1)))
     grouped = marked.withColumn("_g", F.sum("_new").over(w)).groupBy(key, "contig", "rc", "_g")

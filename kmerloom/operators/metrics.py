@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import seq as S
-from .kmers import kmer_rows
+from .packed import kmer_tallies
 
 BINS = (500, 1_000, 5_000, 10_000, 50_000)
 REFERENCE_K = 31
@@ -81,9 +81,9 @@ def reference_metrics(contigs: DataFrame, reference: DataFrame, min_length: int
     them, and novel instances div k for each 100,000 bases of contigs.  Null where the
     reference has no sequence of k bases.
     """
-    ref = kmer_rows(reference, k, seq=seq).select("canon").distinct()
+    ref = kmer_tallies(reference, k, seq=seq).select("canon").distinct()
     long_ = contigs.filter(F.length(seq) >= min_length)
-    own = kmer_rows(long_, k, seq=seq).groupBy("canon").agg(F.count("*").alias("n"))
+    own = kmer_tallies(long_, k, seq=seq).groupBy("canon").agg(F.sum("n").alias("n"))
     both = own.join(ref.withColumn("_in", F.lit(True)), "canon", "left")
     hits = both.agg(F.count("_in").alias("shared"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("n"))), F.lit(0)).alias("matching"), F.coalesce(F.sum(F.when(F.col("_in").isNull(), F.col("n"))), F.lit(0)).alias("novel"))
     total = long_.agg(F.coalesce(F.sum(F.length(seq).cast("long")), F.lit(0)).alias("total"))

@@ -125,3 +125,8 @@ def systematic_sample(reads: DataFrame, most: int = 8192, ordinal: str = "ordina
     total = reads.count()
     step = max(total // most, 1)
     return reads.filter((F.col(ordinal) % step == 0) & (F.floor(F.col(ordinal) / step) < most))
+
+
+def first_reads(reads: DataFrame, most: int, ordinal: str = "ordinal") -> DataFrame:
+    """The first reads of a file, by their place in it."""
+    return reads.filter(F.col(ordinal) < most)

@@ -12,8 +12,9 @@ from pyspark.sql import window as W
 
 from ..functions import seq as S
 from .graph import _number, cut, list_rank, overlaps, upper_median
-from .kmers import kmer_rows
 from .mapping import seed_anchors
+from .packed import kmer_tallies
+from .reads import systematic_sample
 
 _COMPLEMENT = str.maketrans("ACGTacgt", "TGCATGCA")
 CONTIG = "id long, sequence string, mean_coverage double, kmers_count long"
@@ -164,8 +165,9 @@ def _spell(contigs: DataFrame, chains: list[list[int]], join, weight: str = "len
 def build_scaffolds(contigs: DataFrame, links: DataFrame, reads: DataFrame | None = None, min_links: int = 3, gap: int = 50, k: int = 21, pool: int = 8192) -> DataFrame:
     """Contigs chained by their pairs; a gap is closed by overlap or reads, or holds ``gap`` Ns.
 
-    The driver orders the links, which has a row for each linked pair of contigs.  At most
-    ``pool`` reads, taken evenly, are sent to the tasks that close gaps.
+    The driver orders the links, which has a row for each linked pair of contigs.  ``reads``
+    holds (ordinal, seq); ``pool`` of them at most, every n-th, are sent to the tasks that
+    close gaps.
     """
     ids = [r[0] for r in contigs.select("id").orderBy("id").collect()]
     if len(ids) <= 1:
@@ -173,9 +175,7 @@ def build_scaffolds(contigs: DataFrame, links: DataFrame, reads: DataFrame | Non
     chains = scaffold_order(ids, [tuple(r) for r in links.select("src", "dst", "support").collect()], min_links)
     sample: list[str] = []
     if reads is not None:
-        step = max(reads.count() // pool, 1)
-        w = F.monotonically_increasing_id()
-        sample = [r[0] for r in reads.select("seq", w.alias("_o")).filter(F.pmod(F.col("_o"), F.lit(step)) == 0).limit(pool).collect()]
+        sample = [r[0] for r in systematic_sample(reads, pool).orderBy("ordinal").select("seq").collect()]
     shared = contigs.sparkSession.sparkContext.broadcast(sample)
 
     def join(parts: list[str]) -> str:
@@ -370,22 +370,29 @@ def bridge_long_reads(contigs: DataFrame, reads: DataFrame, k: int, config: Long
 
 
 def rescue(final: DataFrame, earlier: DataFrame, k: int, min_coverage: float, min_length: int = 300) -> DataFrame:
-    """Contigs of lower k (id order, newest first) of which half the k-mers are missing from the final ones.
+    """Contigs of lower k, newest (largest id) first, of which half the k-mers are missing from the final ones.
 
-    Those taken count as known for the ones that come after, so a pass on the driver makes
-    the choice; it sees only contigs of which half is missing from the final set alone.
+    Those taken count as known for the ones that come after.  A contig is settled once every
+    newer one that shares a k-mer with it is, so each round settles all that wait for no
+    other; the newest left never waits.  Rounds are as many as the longest chain of contigs
+    that share k-mers, most often the number of k.
     """
     k = min(k, 32)
-    known = kmer_rows(final, k, seq="sequence").select("canon").distinct()
-    old = earlier.filter((F.length("sequence") >= min_length) & (F.col("mean_coverage") >= min_coverage))
-    own = kmer_rows(old, k, ["id"], "sequence").select("id", "canon")
-    missing = own.join(known.withColumn("_in", F.lit(True)), "canon", "left")
-    rows = missing.groupBy("id").agg(F.collect_list(F.when(F.col("_in").isNull(), F.col("canon"))).alias("new"), F.count("*").alias("n"))
-    taken, seen = [], set()
-    for r in rows.filter(2 * F.size("new") >= F.col("n")).orderBy(F.desc("id")).toLocalIterator():
-        if sum(x not in seen for x in r.new) * 2 >= r.n:
-            seen.update(r.new)
-            taken.append((r.id,))
-    if not taken:
-        return old.limit(0)
-    return old.join(old.sparkSession.createDataFrame(taken, "id long"), "id", "left_semi")
+    old = cut(earlier.filter((F.length("sequence") >= min_length) & (F.col("mean_coverage") >= min_coverage)))
+    own = kmer_tallies(old, k, ["id"], "sequence").groupBy("id", "canon").agg(F.sum("n").alias("n"))
+    known = kmer_tallies(final, k, seq="sequence").select("canon").distinct().withColumn("_in", F.lit(True))
+    both = cut(own.join(known, "canon", "left"))
+    sizes = cut(both.groupBy("id").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("_in").isNull(), F.col("n"))), F.lit(0)).alias("new")).filter("2 * new >= total"))
+    open_ = cut(both.filter("_in IS NULL").join(sizes.select("id"), "id", "left_semi").select("id", "canon", "n"))
+    waiting, taken = sizes.select("id", "total"), old.select("id").limit(0)
+    while not waiting.isEmpty():
+        left = open_.join(waiting.select("id"), "id", "left_semi")
+        newest = left.groupBy("canon").agg(F.max("id").alias("_top"))
+        later = left.join(newest, "canon").filter("_top > id").select("id").distinct()
+        ready = waiting.join(later, "id", "left_anti")
+        used = open_.join(taken, "id", "left_semi").select("canon").distinct()
+        fresh = open_.join(used, "canon", "left_anti").groupBy("id").agg(F.sum("n").alias("_new"))
+        settled = cut(ready.join(fresh, "id", "left").select("id", (2 * F.coalesce("_new", F.lit(0)) >= F.col("total")).alias("_takes")))
+        taken = cut(taken.unionByName(settled.filter("_takes").select("id")))
+        waiting = cut(waiting.join(settled, "id", "left_anti"))
+    return old.join(taken, "id", "left_semi")

@@ -156,8 +156,8 @@ def scan_quality(spark: SparkSession, *paths: str, least: int = 10, min_length:
 
 
 def scan_linked(spark: SparkSession, *paths: str) -> DataFrame:
-    """A scan with the barcode of each header, null where there is none."""
-    return scan(spark, *paths).withColumn("barcode", S.header_barcode("id"))
+    """A scan with the barcode of each header, as text and as a number, null where there is none."""
+    return scan(spark, *paths).withColumn("barcode", S.header_barcode("id")).withColumn("barcode_number", S.barcode_number("barcode"))
 
 
 def scan_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
@@ -188,6 +188,12 @@ def _single(reads: DataFrame, number: int, step: int) -> DataFrame:
     return reads.select((F.col("ordinal") * step + number).alias("pair_id"), F.col("seq").alias("r1"), F.lit(None).cast("string").alias("r2"))
 
 
+def append_unpaired(pairs: DataFrame, reads: DataFrame) -> DataFrame:
+    """``pairs(pair_id, r1, r2)`` with the reads of (ordinal, seq) as single ones after them."""
+    after = pairs.agg(F.coalesce(F.max("pair_id") + 1, F.lit(0).cast("long"))).first()[0]
+    return pairs.unionByName(_single(reads, after, 1))
+
+
 def in_memory(spark: SparkSession, first: list[str], second: list[str] | None = None, interleaved: bool = False) -> DataFrame:
     """(pair_id, r1, r2) of sequences at hand."""
     if interleaved:
