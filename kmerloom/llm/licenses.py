@@ -1,6 +1,7 @@
 """License scans: phrases by place, and templates by an exact set-similarity join.
 
-A text block (a line) is a set of words, and so is a template.  Words are put in one
+A text block is a line, or up to ``LINES`` lines that follow one another, as notices are
+often wrapped.  It is a set of words, and so is a template.  Words are put in one
 global order, by how many documents have them, rare ones first.  A block that contains
 a share t of a template has one of the template's |T| - ceil(t |T|) + 1 rarest words
 (prefix filter), as many words of templates as that share needs (length filter), and
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # all ASCII but digits and letters
 WORD = rf"[^{OTHER}]+"
 
+LINES = 4  # of a wrapped notice
+WRAPPED_WORDS = 3  # a block of several lines has so many words at most for each distinct one of the template
+
 #: Phrases and the labels they give.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -84,13 +88,17 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES, text: str
     return df.drop("_w", "_at", "_low")
 
 
-def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line that contains ``threshold`` or more of the words of a template.
+def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, key: str = "doc_id", text: str = "text", lines: int = 1) -> DataFrame:
+    """Every block that contains ``threshold`` or more of the words of a template.
 
-    Returns key, line (its number), block (its text), template (its number), label and
-    containment (the share of the template's distinct words).  Templates are a fixed
-    list; only the frequencies of their words and the list itself go to the driver.
-    Null and empty texts have no lines with words; rows that repeat give repeated rows.
+    A block is a line, or two to ``lines`` lines in a row if they have ``WRAPPED_WORDS`` words
+    at most for each distinct word of the template, so that a notice that is wrapped is found
+    but not its words strewn over a page.  Returns key, line (the number of the first one),
+    lines (how many), block (the text), template (its number), label and containment (the
+    share of the template's distinct words).  Templates are a fixed list; only the
+    frequencies of their words and the list itself go to the driver.  Null and empty texts
+    have no lines with words, texts are read whole, and an empty table gives no block; rows
+    that repeat give repeated rows; other columns are not read.
     """
     spark = docs.sparkSession
     sets = [sorted(set(t.split())) for _, t in templates]
@@ -111,18 +119,24 @@ def template_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
     plan = spark.createDataFrame(rows, "rank int, at int, template int, label string, ranks array<int>, need int")
     # lines of the texts that can hold a match at all, as the ranks of their template words
     some = body.withColumn("_low", F.lower("_t")).filter(reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in sorted(guards))))
-    lines = some.select(key, F.posexplode(F.split("_t", "\n")).alias("line", "block"))
     ranks = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*map(F.lit, order.values())))
-    held = F.sort_array(F.array_compact(F.transform(F.array_distinct(_words(F.col("block"))), lambda w: F.try_element_at(ranks, w))))
-    lines = lines.withColumn("_b", held).select(key, "line", "block", "_b", F.posexplode("_b").alias("_q", "rank"))
+    held = lambda x: F.array_compact(F.transform(F.array_distinct(_words(x)), lambda w: F.try_element_at(ranks, w)))
+    some = some.select(key, F.split("_t", "\n").alias("_l")).withColumn("_b", F.transform("_l", lambda x: F.struct(held(x).alias("r"), F.regexp_count(x, F.lit(WORD)).alias("n"))))
+    # lines without a word of any template end no block and begin none, so most windows are never made
+    each = F.flatten(F.transform("_b", lambda x, i: F.when(F.size(x["r"]) > 0, F.transform(F.sequence(F.lit(1), F.least(F.lit(lines), F.size("_b") - i)), lambda m: F.struct(i.alias("line"), m.alias("lines")))).otherwise(F.array().cast("array<struct<line:int,lines:int>>"))))
+    blocks = some.select(key, "_l", "_b", F.inline(each)).filter("lines = 1 OR size(_b[line + lines - 1].r) > 0")
+    inside = F.slice("_b", F.col("line") + 1, F.col("lines"))
+    union = F.sort_array(F.array_distinct(F.flatten(F.transform(inside, lambda x: x["r"]))))
+    blocks = blocks.select(key, "line", "lines", F.array_join(F.slice("_l", F.col("line") + 1, F.col("lines")), "\n").alias("block"), union.alias("_b"), F.aggregate(inside, F.lit(0), lambda a, x: a + x["n"]).alias("_n"))
+    blocks = blocks.select("*", F.posexplode("_b").alias("_q", "rank"))
     # a fixed list of templates: its size doesn't depend on the data
-    pairs = lines.join(F.broadcast(plan), "rank")
-    pairs = pairs.filter(F.size("_b") >= F.col("need"))
+    pairs = blocks.join(F.broadcast(plan), "rank")
+    pairs = pairs.filter((F.size("_b") >= F.col("need")) & ((F.col("lines") == 1) | (F.col("_n") <= WRAPPED_WORDS * F.size("ranks"))))
     # counting on from a first common word; where an earlier one was common, that pair stands for this block
     pairs = pairs.filter(1 + F.least(F.size("ranks") - F.col("at") - 1, F.size("_b") - F.col("_q") - 1) >= F.col("need"))
     pairs = pairs.filter(F.element_at(F.array_intersect("ranks", "_b"), 1) == F.col("rank"))
     found = pairs.withColumn("containment", F.size(F.array_intersect("ranks", "_b")) / F.size("ranks"))
-    return found.filter(F.size(F.array_intersect("ranks", "_b")) >= F.col("need")).select(key, "line", "block", "template", "label", "containment")
+    return found.filter(F.size(F.array_intersect("ranks", "_b")) >= F.col("need")).select(key, "line", "lines", "block", "template", "label", "containment")
 
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,10 +144,12 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.9, key: str = "doc_id",
 
     ``labels`` has those of both, distinct, sorted and joined by commas; ``score`` is 1 with
     a phrase, else the largest containment of a block that reaches the threshold, else 0.
-    Rows with one key share their template labels.
+    Rows with one key share their template labels; a null key is a key.  Null and empty texts
+    have no labels and score 0; an empty table gives an empty one; columns beside key and
+    text are not read.
     """
     base = phrase_places(docs.select(key, text), text=text).drop(text)
-    blocks = template_blocks(docs, threshold=threshold, key=key, text=text)
+    blocks = template_blocks(docs, threshold=threshold, key=key, text=text, lines=LINES)
     own = blocks.groupBy(F.col(key).alias("_k")).agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))
     out = base.join(own, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     based = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))

@@ -40,9 +40,9 @@ class LineRules:
     """Shares are in percent of a line's words."""
 
     mark_words: int = 8  # a line of so many words needs a sentence mark somewhere
-    symbol_share: int = 30  # words that carry one of #*$%&|<>~^
-    shout_share: int = 50  # words that end in !!
-    bar_share: int = 20  # words that are separators of a menu
+    symbol_share: int = 30  # words with two of #*$%&<>~^ side by side
+    shout_share: int = 50  # pairs of !, for each hundred words
+    bar_share: int = 20  # separators of a menu that stand alone
     boilerplate_words: int = 25
     lost_share: int = 50  # a document that loses more is rejected
 
@@ -64,7 +64,8 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     ``base_failed``: fewer than 10 words, or over a fifth of them in 5-word windows that
     come twice or more in the text.  ``kept``: neither that nor over ``lost_share`` of the
     words lost.  A null or empty text has no words, so fails; rows are judged one by one,
-    so repeated rows agree.  Columns named like the added ones are replaced.
+    so repeated rows agree, an empty table stays empty and a text is taken whole, however
+    long.  Columns named like the added ones are replaced.
     """
     added = ["word_chars", "n_symbols", "n_words", "n_dup_lines", "n_repeat_words", "n_lost", "base_failed", "kept", "clean_text"]
     temporary = ["_t", "_w", "_h", "_s", "_p", "_lines", "_full", "_good"]

@@ -206,7 +206,9 @@ def score_by_words(docs: DataFrame, wanted: Column, key: str = "doc_id", text: s
     ``docs``; null is false.  Returns key, n_tokens (words), loss_target, loss_background and
     ce_difference (target minus background: the lower, the more like the wanted texts).  A
     text without words has losses 0; repeated rows count, and come out, as often as they
-    stand there.  N-grams are compared by 63-bit hashes.
+    stand there.  A null key stays null, an empty table gives an empty one, a text of any
+    length is scored whole, and columns that neither key, text nor ``wanted`` name are not
+    read.  N-grams are compared by 63-bit hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")

@@ -66,7 +66,8 @@ def mix_sources(
     its target by at most about half a bin.
 
     Null texts and texts without words have size 0 and still get copies; a null source
-    is a source of its own; rows that repeat are taken alike; an empty table stays empty.
+    is a source of its own; rows that repeat are taken alike; an empty table stays empty;
+    texts are counted whole, however long.
     Columns named like the added ones are replaced.
     """
     spark = docs.sparkSession

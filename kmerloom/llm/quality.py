@@ -84,7 +84,13 @@ def statistics_of(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and one column for each statistic of the whole text; null counts as empty."""
+    """The ``keep`` columns and one column for each statistic of the whole text, of any length.
+
+    A null text counts as empty, and an empty one has 0 throughout.  Rows are taken one by
+    one, so repeated ones agree and an empty table stays empty; a column that is named like
+    a statistic is replaced.
+    """
+    keep = [k for k in keep if k not in STATISTICS]
     kept = [docs.schema[k] for k in keep]
     return per_chunk(docs, text, keep, T.StructType([*kept, *(T.StructField(s, T.DoubleType(), False) for s in STATISTICS)]), statistics_of)
 
@@ -125,6 +131,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, ra
             for path, rows in level:
                 found = _stump(x, grad, hess, rows, cuts, least) if len(rows) >= 2 * least else None
                 if found is None:
+                    nodes.append((path, rows))  # a leaf that is reached early
                     continue
                 _, j, at = found
                 below = x[rows, j] <= at
@@ -132,7 +139,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, ra
                     rule = tuple(sorted((*path, (STATISTICS[j], op, at))))
                     rules[rule] = None
                     nodes.append((rule, own))
-            if not nodes:
+            if len(nodes) == len(level):
                 break
             level = nodes
         for _, rows in level:
@@ -206,9 +213,13 @@ def fit_on(stats: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     """Fits on ``sample`` labelled rows at most, the first in the order of a hash of their key.
 
     The sample is the only thing that the driver sees of the rows.  Labels that are null
-    or neither 0 nor 1 teach nothing; of several labels for a key the smallest counts.
+    or neither 0 nor 1 teach nothing; of several labels for a key the smallest counts, and
+    a key that comes in several rows teaches once, by the smallest of its statistics.
+    Without labels every score is one half, with labels of one kind the same for all.
     """
-    marks = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key)).agg(F.min(label).alias("_label"))
-    rows = stats.join(marks, key).orderBy(F.xxhash64(F.col(key)), key).limit(sample).select(*STATISTICS, "_label").toArrow()
+    marks = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
+    own = stats.select(F.col(key).alias("_id"), F.struct(*STATISTICS).alias("_row"))
+    taught = own.join(marks, F.col("_id") == F.col("_key")).groupBy("_id", "_label").agg(F.min("_row").alias("_row"))
+    rows = taught.orderBy(F.xxhash64(F.col("_id")), "_id").limit(sample).select("_row.*", "_label").toArrow()
     x = np.stack([rows.column(s).to_numpy() for s in STATISTICS], 1) if rows.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, rows.column("_label").to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0))

@@ -178,8 +178,10 @@ p(label, ws) AS (VALUES {phrases}), q(label, ws) AS (VALUES {templates}),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE t LIKE '%license%' OR t LIKE '%cc%'),
 a AS (SELECT doc_id, i - 1 AS i, label FROM i, p WHERE w[i:i + len(ws) - 1] = ws),
 b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM a GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS ws FROM w),
-m AS (SELECT doc_id, label, len(list_intersect(q.ws, l.ws)) AS n, len(q.ws) AS size FROM l, q WHERE len(l.ws) > 0),
+y AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '{word}')) AS ls FROM w),
+k AS (SELECT doc_id, ls, m, unnest(range(1, len(ls) - m + 2)) AS i FROM y, range(1, {licenses.LINES} + 1) AS o(m)),
+l AS (SELECT doc_id, m, list_distinct(flatten(ls[i:i + m - 1])) AS ws, len(flatten(ls[i:i + m - 1])) AS n_words FROM k),
+m AS (SELECT doc_id, label, len(list_intersect(q.ws, l.ws)) AS n, len(q.ws) AS size FROM l, q WHERE len(l.ws) >= ceil(0.9 * len(q.ws) - 1e-9) AND (m = 1 OR n_words <= {licenses.WRAPPED_WORDS} * len(q.ws))),
 f AS (SELECT doc_id, label, n::DOUBLE / size AS c FROM m WHERE n >= ceil(0.9 * size - 1e-9)),
 x AS (SELECT doc_id, max(c) AS best FROM f GROUP BY doc_id),
 g AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM a GROUP BY doc_id),

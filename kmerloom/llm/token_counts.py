@@ -153,7 +153,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
     """Tokens of every whole text: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     ``path`` must name the same sentencepiece model on every machine.  A null text counts
-    as empty and has no tokens; repeated rows give repeated rows; other columns are not read.
+    as empty and has no tokens; repeated rows give repeated rows, an empty table an empty one;
+    other columns are not read, whatever their names.  A text of any length is counted whole.
     Each worker keeps two generations of ``CACHE_WORDS`` counted pre-tokens.
     """
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
