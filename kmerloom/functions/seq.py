@@ -1,4 +1,4 @@
-"""Column functions over sequences and base qualities; all run inside the JVM.
+"""Column functions over sequences and base qualities; all but the adapter search run inside the JVM.
 
 Sequences are strings over ACGT; anything else is an ambiguous base.  Qualities are
 strings of the same length, one character a base.
@@ -6,6 +6,8 @@ strings of the same length, one character a base.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,29 +151,55 @@ def poly_g_end(seq: Column | str, least: int = 5) -> Column:
     return F.when(F.lit(least > 0) & (F.length(s) - rest >= max(least, 1)), rest).otherwise(F.length(s))
 
 
+def _first_of(hit: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The first marked place of each stretch of a flat array, from its start on; -1 without one."""
+    at = np.flatnonzero(hit)
+    i = np.searchsorted(at, offs[:-1])
+    found = at[np.minimum(i, max(len(at) - 1, 0))] if len(at) else np.zeros(len(offs) - 1, np.int64)
+    return np.where((i < len(at)) & (found < offs[1:]), found - offs[:-1], -1)
+
+
+def _adapter_places(reads: list[str], adapter: bytes, least: int) -> np.ndarray:
+    """Where each read is cut for one adapter, -1 without it."""
+    raw = [r.encode("latin-1", "replace").upper() for r in reads]
+    size = np.array([len(r) for r in raw], np.int64)
+    offs = np.concatenate(([0], np.cumsum(size)))
+    m, n = len(adapter), int(offs[-1])
+    buf = np.frombuffer(b"".join(raw) + bytes(m), np.uint8)
+    left = np.repeat(offs[1:], size) - np.arange(n)  # bases from a place to the end of its read
+    wrong = np.zeros(n, np.int16)
+    tail = np.zeros(n, bool)
+    for j, base in enumerate(adapter, 1):
+        wrong += buf[j - 1 : j - 1 + n] != base
+        if j >= least:  # so many bases are left: the comparison ends with the read
+            tail |= (left == j) & (wrong <= max(j // 10, int(j >= 12)))
+    whole = (left >= m) & (wrong <= max(m // 10, 1))
+    both = np.stack([_first_of(tail, offs), _first_of(whole, offs)])
+    both[both < 0] = np.iinfo(np.int64).max
+    best = both.min(0)
+    return np.where(best == np.iinfo(np.int64).max, -1, best)
+
+
 def adapter_start(seq: Column | str, adapters: list[str], min_overlap: int) -> Column:
     """Where the read is cut for an adapter (its new length), null without one.
 
     An adapter's beginning may stand at the end of the read, or all of it inside; a tenth of
     the compared bases may differ (one at least from 12 bases on, and inside).  Of each kind
-    the first place counts, and over all adapters the smallest.
+    the first place counts, and over all adapters the smallest.  Case makes no difference;
+    adapters shorter than the overlap are left out.  Whole Arrow batches are compared at once.
     """
-    s = _c(seq)
-    n = F.length(s)
-
-    def places(adapter: str) -> list[Column]:
-        m = len(adapter)
-
-        def mismatches(at: Column, width: Column) -> Column:
-            differs = lambda c, j: c + (F.substring(s, at + j, F.lit(1)) != F.substring(F.lit(adapter), j, F.lit(1))).cast("int")
-            return F.aggregate(F.sequence(F.lit(1), width), F.lit(0), differs)
-
-        low, high = F.greatest(n - m, F.lit(0)), n - min_overlap
-        tail = F.filter(F.sequence(low, high), lambda at: mismatches(at, n - at) <= F.greatest(F.floor((n - at) / 10), (n - at >= 12).cast("long")))
-        inside = F.filter(F.sequence(F.lit(0), n - m), lambda at: mismatches(at, F.lit(m)) <= max(m // 10, 1))
-        return [F.when(high >= low, F.try_element_at(tail, F.lit(1))), F.when(n >= m, F.try_element_at(inside, F.lit(1)))]
-
-    return F.array_min(F.array(*(x for a in adapters for x in places(a))))
+    wanted = [a.upper().encode() for a in adapters if len(a) >= min_overlap > 0]
+    if not wanted:
+        return F.lit(None).cast("int")
+
+    def places(reads: pd.Series) -> pd.Series:
+        known = reads.fillna("").tolist()
+        every = np.stack([_adapter_places(known, a, min_overlap) for a in wanted])
+        every[every < 0] = np.iinfo(np.int64).max
+        best = every.min(0)
+        return pd.Series([None if b == np.iinfo(np.int64).max else int(b) for b in best], dtype="Int32")
+
+    return F.pandas_udf(places, "int")(_c(seq))
 
 
 def read_fate(seq: Column | str, qual: Column | str, min_len: int = 30, max_ns: int = 3, min_quality: int = 10, offset: Column | int = 33) -> Column:

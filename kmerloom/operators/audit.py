@@ -120,23 +120,31 @@ def longest_overlap(genes: DataFrame, alignments: DataFrame, key: str, width: in
     return genes.select(key).join(best, key, "left").select(key, F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
-def gene_span(genes: DataFrame, alignments: DataFrame, key: str, flank: int = 30, width: int = 4096) -> DataFrame:
-    """(key, spanned, percent, bucket): whether one alignment holds the gene and its flanks, and how much of the gene the longest covers."""
-    held = contained(genes, alignments, flank, width).select(F.col(f"l_{key}").alias(key)).distinct().withColumn("_s", F.lit(True))
-    over = longest_overlap(genes, alignments, key, width)
-    out = genes.select(key, (F.col("end") - F.col("start") + 1).alias("_n")).join(over, key).join(held, key, "left")
-    percent = 100.0 * F.col("overlap") / F.col("_n")
+def gene_span(genes: DataFrame, alignments: DataFrame, key: str, flank: int = 30, width: int = 4096, distinct_from: str | None = None) -> DataFrame:
+    """(key, spanned, percent, bucket): whether one alignment holds the gene and its flanks, and how much of the gene the longest covers.
+
+    With ``distinct_from``, a column of the alignments, those whose value is the gene's key are left out.
+    """
+    both = overlap_join(genes, alignments, 0, width)
+    both = both if distinct_from is None else both.filter(F.col(f"l_{key}") != F.col(f"r_{distinct_from}"))
+    size = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
+    holds = (F.col("r_start") <= F.col("l_start") - flank) & (F.col("r_end") >= F.col("l_end") + flank)
+    best = both.groupBy(F.col(f"l_{key}").alias(key)).agg(F.max(size).alias("_over"), F.max(holds).alias("_s"))
+    out = genes.select(key, (F.col("end") - F.col("start") + 1).alias("_n")).join(best, key, "left")
+    percent = 100.0 * F.coalesce("_over", F.lit(0)) / F.col("_n")
     bucket = F.when(percent >= 99, ">=99").when(percent >= 95, ">=95").when(percent >= 50, ">=50").otherwise("<50")
     return out.select(key, F.coalesce("_s", F.lit(False)).alias("spanned"), percent.alias("percent"), bucket.alias("bucket"))
 
 
-def centromere_synteny(centromeres: DataFrame, alignments: DataFrame, key: str, flank: int = 200, width: int = 4096) -> DataFrame:
+def centromere_synteny(centromeres: DataFrame, alignments: DataFrame, key: str, flank: int = 200, width: int = 4096, distinct_from: str | None = None) -> DataFrame:
     """(key, status, left_flank, right_flank, contig): INTACT with ``flank`` bases on both sides in one alignment, MARGINAL with less, SPLIT without.
 
     Of several alignments that hold it, the one whose smaller flank is the largest, then the
-    larger sum, then the smaller contig; flanks are 0 and the contig null without any.
+    larger sum, then the smaller contig; flanks are 0 and the contig null without any.  With
+    ``distinct_from``, a column of the alignments, those whose value is the key are left out.
     """
     pairs = contained(centromeres, alignments, 0, width)
+    pairs = pairs if distinct_from is None else pairs.filter(F.col(f"l_{key}") != F.col(f"r_{distinct_from}"))
     left, right = F.col("l_start") - F.col("r_start"), F.col("r_end") - F.col("l_end")
     w = W.Window.partitionBy(f"l_{key}").orderBy(F.desc(F.least(left, right)), F.desc(left + right), "r_contig")
     best = pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.col(f"l_{key}").alias(key), left.alias("left_flank"), right.alias("right_flank"), F.col("r_contig").alias("contig"))

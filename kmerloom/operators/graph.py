@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,15 +102,62 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataFrame:
+LOCAL_NODES = 4_000_000  # so many are ranked in one task, in some hundred MB; more stay distributed
+
+
+def _ranked(node: pa.Array, prev: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The head (its row) and the rank of each node, by pointer doubling over arrays; a cycle is cut before its smallest node."""
+    both = pa.concat_arrays([node, prev]).dictionary_encode()
+    code = both.indices.fill_null(-1).to_numpy()
+    row_of = np.full(len(both.dictionary), -1, np.int64)
+    row_of[code[: len(node)]] = np.arange(len(node))
+    before = np.where(code[len(node) :] >= 0, row_of[code[len(node) :]], -1)
+    place = np.empty(len(node), np.int64)
+    place[pc.sort_indices(node).to_numpy()] = np.arange(len(node))
+
+    def doubled(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.where(before < 0, np.arange(len(before)), before)
+        rank, low = (before >= 0).astype(np.int64), np.minimum(place, place[at])
+        for _ in range(max(len(before), 2).bit_length()):
+            rank, low, at = rank + rank[at], np.minimum(low, low[at]), at[at]
+        return at, rank, low
+
+    at, rank, low = doubled(before)
+    looped = before[at] >= 0
+    if looped.any():
+        before = np.where(looped & (place == low), -1, before)
+        at, rank, _ = doubled(before)
+    return at, rank
+
+
+def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """(node, head, rank) of every node in its list.
 
-    ``nodes(node)``; ``links(prev, node)``: each node is at most once on either side.  By
+    ``nodes(node)``, each once; ``links(prev, node)``: each node is at most once on either
+    side.  Up to ``local_nodes`` nodes are ranked in one task.  More stay distributed: by
     pointer doubling a list of n takes about log2(n) rounds of one join.  A cycle has no
-    head; it is cut before its smallest node, which the same rounds find.
+    head; it is cut before its smallest node.  Both ways give the same.
     """
-    start = nodes.join(links, "node", "left").select("node", F.col("prev").alias("anc"), F.least("node", F.coalesce("prev", "node")).alias("low"))
-    start = cut(start)
+    start = cut(nodes.join(links, "node", "left").select("node", "prev"))
+    if start.limit(local_nodes + 1).count() <= local_nodes:
+        kind = nodes.schema["node"].dataType
+        schema = T.StructType([T.StructField("node", kind), T.StructField("head", kind), T.StructField("rank", T.LongType())])
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if not held:
+                return
+            node, prev = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+            head, far = _ranked(node, prev)
+            out = pa.table({"node": node, "head": node.take(pa.array(head)), "rank": far})
+            yield from out.to_batches(1 << 16)
+
+        return start.coalesce(1).mapInArrow(rank, schema)
+    return _list_rank(start, links, max_rounds)
+
+
+def _list_rank(start: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame:
+    start = start.select("node", F.col("prev").alias("anc"), F.least("node", F.coalesce("prev", "node")).alias("low"))
     heads = start.filter("anc IS NULL").select("node", "anc", F.lit(0).cast("long").alias("dist"), "low")
     state = start.filter("anc IS NOT NULL").select("node", "anc", F.lit(1).cast("long").alias("dist"), "low")
     left = state.count()
@@ -122,7 +170,7 @@ def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataF
         moved = cut(moved)
         open_ = moved.filter("_open").count()
         if done > 1:
-            _remove(nodes.sparkSession, last)
+            _remove(start.sparkSession, last)
         last = moved._cut_path
         state = moved.drop("_open")
         # after 2**done steps whoever is on a list has reached its head; the others go round
@@ -137,7 +185,8 @@ def list_rank(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataF
     if looped.isEmpty():
         return out
     inner = links.join(looped.select("node", "low"), "node").filter("node != low").select("prev", "node")
-    return out.unionByName(list_rank(looped.select("node"), inner, max_rounds))
+    again = cut(looped.select("node").join(inner, "node", "left").select("node", "prev"))
+    return out.unionByName(_list_rank(again, inner, max_rounds))
 
 
 # K-mer graph

@@ -82,7 +82,7 @@ def solid_cutoff(counts: DataFrame, min_coverage: float = 5.0) -> int:
 
     Above a wanted coverage of 5 it follows from that.  Else, from 100 k-mers on and if the
     count at rank n * 95 / 100 is 30 or more, it is the valley of the histogram before the
-    main peak; otherwise 2.  Only the histogram, whose size depends on depth, is collected.
+    main peak; otherwise, or if the histogram doesn't rise again, 2.  Only the histogram, whose size depends on depth, is collected.
     """
     if min_coverage > 5:
         return int(max(0.35 * min_coverage, 2.0))
@@ -99,14 +99,14 @@ def solid_cutoff(counts: DataFrame, min_coverage: float = 5.0) -> int:
     if top < 30:
         return 2
     histogram = dict(bins)
-    valley, low = 2, histogram.get(2, 0)
+    valley, low = 2, None
     for c in range(2, min(max(top // 4, 10), 35) + 1):
         h = histogram.get(c, 0)
-        if h <= low:
+        if low is None or h <= low:
             valley, low = c, h
         elif h > 2 * low and c > valley + 2:
-            break
-    return valley
+            return valley
+    return 2
 
 
 def solid(counts: DataFrame, cutoff: int) -> DataFrame:

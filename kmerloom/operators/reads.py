@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import seq as S
 
@@ -92,11 +93,18 @@ def preprocess_pairs(pairs: DataFrame, config: QcConfig = QcConfig()) -> DataFra
 
     ``route``: 'paired' if both pass, 'singleton' if one does, 'dropped'.
     """
-    from pyspark.sql import window as W
+    return routed(preprocess(pairs, config))
 
-    done = preprocess(pairs, config)
+
+def routed(reads: DataFrame) -> DataFrame:
+    """Adds ``route`` to reads with pair_id and fate: 'paired' if both pass, 'singleton' if one does, 'dropped'."""
     passed = F.sum((F.col("fate") == "pass").cast("int")).over(W.Window.partitionBy("pair_id"))
-    return done.withColumn("route", F.when(F.col("fate") != "pass", "dropped").when(passed == 2, "paired").otherwise("singleton"))
+    return reads.withColumn("route", F.when(F.col("fate") != "pass", "dropped").when(passed == 2, "paired").otherwise("singleton"))
+
+
+def drop_singletons(reads: DataFrame) -> DataFrame:
+    """Routed reads where one that lost its mate is dropped as too short."""
+    return reads.withColumn("fate", F.when(F.col("route") == "singleton", "too_short").otherwise(F.col("fate")))
 
 
 def read_totals(reads: DataFrame, offset: int = 33) -> DataFrame:

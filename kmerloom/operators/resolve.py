@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import seq as S
-from .graph import _number, cut, list_rank, overlaps, upper_median
+from .graph import _number, cut, list_rank, numbered, overlaps, upper_median
 from .mapping import seed_anchors
 from .packed import kmer_tallies
 from .reads import systematic_sample
@@ -369,6 +369,18 @@ def bridge_long_reads(contigs: DataFrame, reads: DataFrame, k: int, config: Long
 # Multi-k rescue
 
 
+def novelty(old: DataFrame, final: DataFrame, k: int, key: str = "id", seq: str = "sequence") -> DataFrame:
+    """(key, total, missing): k-mer instances of each sequence, and those that no final one has."""
+    known = kmer_tallies(final, k, seq=seq).select("canon").distinct().withColumn("_in", F.lit(True))
+    both = kmer_tallies(old, k, [key], seq).join(known, "canon", "left")
+    return both.groupBy(key).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("_in").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+
+
+def by_support(links: DataFrame) -> DataFrame:
+    """(place, u, v, support): links with the most support first, ties by their ends."""
+    return numbered(links.select("u", "v", "support"), [F.desc("support"), "u", "v"], name="place").select("place", "u", "v", "support")
+
+
 def rescue(final: DataFrame, earlier: DataFrame, k: int, min_coverage: float, min_length: int = 300) -> DataFrame:
     """Contigs of lower k, newest (largest id) first, of which half the k-mers are missing from the final ones.
 

@@ -167,7 +167,7 @@ def qc(reads: DataFrame, config: R.QcConfig = R.QcConfig(), keep_singletons: boo
     paired = "pair_id" in reads.columns
     done = graph.cut((R.preprocess_pairs if paired else R.preprocess)(reads, replace(config, phred=offset)))
     if paired and not keep_singletons:
-        done = done.withColumn("fate", F.when(F.col("route") == "singleton", "too_short").otherwise(F.col("fate")))
+        done = R.drop_singletons(done)
     clean = done.filter("fate = 'pass'")
     raw, kept = R.read_totals(reads, offset), R.read_totals(clean, offset)
     report = raw.select(*(F.col(c).alias(f"raw_{c}") for c in raw.columns)).crossJoin(kept.select(*(F.col(c).alias(f"clean_{c}") for c in kept.columns)))

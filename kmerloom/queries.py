@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import audit, graph, kmers, mapping, metrics, modes, polish, resolve
+from .operators import audit, graph, kmers, mapping, metrics, modes, packed, polish, resolve
 from .operators import reads as R
 from .plans import views as V
 from .sources import sinks
@@ -64,7 +64,7 @@ def kmer_spectrum(spark, sf_dir):
 
 @query(f"WITH {SEQS}, {_kmers('w', 'seqs', 21)} SELECT canon AS kmer, count(*) AS cnt FROM w GROUP BY canon HAVING count(*) >= 2")
 def kmers_seen_twice(spark, sf_dir):
-    return kmers.seen_twice(kmers.count_kmers(V.seqs(spark, sf_dir), 21))
+    return kmers.count_kmers(V.seqs(spark, sf_dir), 21, least=2)
 
 
 @query(f"WITH {REFS}, {_kmers('w', 'refs', 55)} SELECT canon AS kmer, count(*) AS cnt FROM w GROUP BY canon")
@@ -77,26 +77,30 @@ a AS (SELECT canon, count(*) AS cnt FROM w GROUP BY canon UNION ALL SELECT canon
 t AS (SELECT canon, sum(cnt)::BIGINT AS cnt FROM a GROUP BY canon) SELECT cnt, count(*) AS n_kmers FROM t GROUP BY cnt""")
 def prior_boost(spark, sf_dir):
     priors = _refs(spark, sf_dir).withColumnRenamed("seq", "sequence")
-    return kmers.spectrum(kmers.boost_priors(kmers.count_kmers(V.seqs(spark, sf_dir), K), priors, K, 5.0))
+    return kmers.spectrum(kmers.boost_priors(kmers.count_packed(V.seqs(spark, sf_dir), K), priors, K, 5.0))
 
 
 @query(f"""WITH {SEQS}, {_kmers('w', 'seqs', K)}, c AS (SELECT canon FROM w GROUP BY canon HAVING count(*) >= 2)
 SELECT id, count(*) AS n_solid FROM w WHERE canon IN (SELECT canon FROM c) GROUP BY id""")
 def solid_membership(spark, sf_dir):
     s = V.seqs(spark, sf_dir)
-    solid = kmers.solid(kmers.count_kmers(s, K), 2)
-    return kmers.solid_instances(s, solid, K, ["id"]).groupBy("id").agg(F.count("*").alias("n_solid"))
+    return kmers.solid_tallies(s, kmers.solid(kmers.count_packed(s, K), 2), K)
 
 
 @query(f"""WITH {SEQS}, {_kmers('w', 'seqs', K)}, c AS (SELECT canon, count(*) AS cnt FROM w GROUP BY canon HAVING count(*) >= 3)
 SELECT id, round(avg(coalesce(cnt, 2)), 6) AS mean_coverage FROM w LEFT JOIN c USING (canon) GROUP BY id""")
 def kmer_coverage(spark, sf_dir):
     s = V.seqs(spark, sf_dir)
-    counts = kmers.solid(kmers.count_kmers(s, K), 3)
+    counts = kmers.solid(kmers.count_packed(s, K), 3)
     return kmers.mean_coverage(s, counts, K, seq="seq").select("id", F.round("mean_coverage", 6).alias("mean_coverage"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQS}, {_kmers('w', 'seqs', K)}, c AS (SELECT count(*) AS cnt FROM w GROUP BY canon), n AS (SELECT count(*) AS n FROM c),
+t AS (SELECT cnt AS top FROM (SELECT cnt, row_number() OVER (ORDER BY cnt) - 1 AS r FROM c), n WHERE r = n * 95 // 100),
+m AS (SELECT greatest(least(top // 4, 35), 10) AS most FROM t), h AS (SELECT x AS c, (SELECT count(*) FROM c WHERE cnt = x) AS h FROM m, range(2, 36) AS q(x) WHERE x <= most),
+f(c, valley, low, found) AS (SELECT 1::BIGINT, 2::BIGINT, 1000000000000::BIGINT, false UNION ALL
+  SELECT h.c, CASE WHEN h <= low THEN h.c ELSE valley END, least(h, low), h > 2 * low AND h.c > valley + 2 FROM f JOIN h ON h.c = f.c + 1 WHERE NOT found)
+SELECT CASE WHEN n <= 100 OR top < 30 THEN 2 ELSE coalesce((SELECT max(valley) FROM f WHERE found), 2) END::INT AS cutoff FROM n, t""")
 def solid_cutoff(spark, sf_dir):
     return spark.createDataFrame([(kmers.solid_cutoff(kmers.count_packed(V.seqs(spark, sf_dir), K)),)], "cutoff int")
 
@@ -104,8 +108,25 @@ def solid_cutoff(spark, sf_dir):
 @query()
 def corrected_reads(spark, sf_dir):
     """Benchmark sequences against the solid k-mers of the documents."""
-    solid = kmers.seen_twice(kmers.count_kmers(V.seqs(spark, sf_dir), 21))
-    return kmers.correct_reads(_refs(spark, sf_dir), solid, 21)
+    return kmers.correct_reads(_refs(spark, sf_dir), kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), 21)), 21)
+
+
+@query(f"WITH {NOISY} SELECT id, md5(regexp_replace(seq, '[^ACGT]', '', 'g')) AS bases, length(regexp_replace(seq, '[^ACGT]', '', 'g'))::INT AS n_bases, ceil(length(regexp_replace(seq, '[^ACGT]', '', 'g')) / 4)::INT AS n_bytes FROM noisy")
+def packed_reads(spark, sf_dir):
+    two = packed.pack_reads(V.noisy_seqs(spark, sf_dir)).withColumn("n_bytes", F.length("packed")).withColumn("size", F.col("n_bases"))
+    return packed.unpack_reads(two).select("id", F.md5("seq").alias("bases"), F.col("size").alias("n_bases"), "n_bytes")
+
+
+@query(f"WITH {REFS}, {_kmers('w', 'refs', 15)} SELECT id, pos, substr(kmer, 2) || 'G' AS to_right, 'T' || left(kmer, 14) AS to_left, left(kmer, 1) || right(kmer, 1) AS ends FROM w")
+def kmers_extended(spark, sf_dir):
+    w = kmers.kmer_rows(_refs(spark, sf_dir), 15, ["id"])
+    return w.select("id", F.col("pos").cast("long").alias("pos"), S.extend_right("kmer", F.lit("G")).alias("to_right"), S.prepend_left("kmer", F.lit("T")).alias("to_left"), F.concat(S.first_base("kmer"), S.last_base("kmer")).alias("ends"))
+
+
+@query(f"""WITH {SEQS}, {REFS}, {_kmers('w', 'seqs', 32)}, {_kmers('p', 'refs', 32)}, r AS (SELECT DISTINCT canon FROM p)
+SELECT w.id, count(*) AS total, sum((r.canon IS NULL)::INT)::BIGINT AS missing FROM w LEFT JOIN r USING (canon) GROUP BY w.id""")
+def missing_kmers(spark, sf_dir):
+    return resolve.novelty(V.contigs(spark, sf_dir), _refs(spark, sf_dir).withColumnRenamed("seq", "sequence"), 32)
 
 
 # Graph
@@ -117,19 +138,17 @@ _SOLID21 = f"{SEQS}, {_kmers('w', 'seqs', 21)}, c AS (SELECT canon AS kmer, coun
 e AS (SELECT a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON substr(a.node, 2) = substr(b.node, 1, 20)),
 o AS (SELECT src, count(*) AS out_degree FROM e GROUP BY src) SELECT out_degree, count(*) AS n_nodes FROM o GROUP BY out_degree""")
 def adjacency_degrees(spark, sf_dir):
-    solid = kmers.seen_twice(kmers.count_kmers(V.seqs(spark, sf_dir), 21))
-    degrees = graph.adjacency(solid, 21).groupBy("src").agg(F.count("*").alias("out_degree"))
-    return degrees.groupBy("out_degree").agg(F.count("*").alias("n_nodes"))
+    return graph.out_degrees(kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), 21)), 21)
 
 
 @query()
 def unitigs(spark, sf_dir):
-    return graph.unitigs(kmers.seen_twice(kmers.count_kmers(V.seqs(spark, sf_dir), K)), K)
+    return graph.unitigs(kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), K)), K)
 
 
 @query()
 def simplified_contigs(spark, sf_dir):
-    raw = graph.unitigs(kmers.seen_twice(kmers.count_kmers(V.seqs(spark, sf_dir), K)), K)
+    raw = graph.unitigs(kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), K)), K)
     return graph.simplify(raw, K, min_coverage=2.5, min_length=60)
 
 
@@ -194,10 +213,13 @@ hit AS (SELECT rid, pos, substr(seq, pos + 1, 21) AS kmer FROM probe),
 met AS (SELECT rid, contig, pos, cpos, (kmer != canon) = flipped AS same FROM (SELECT *, least(kmer, """ + _rc("kmer") + """) AS canon FROM hit) JOIN one USING (canon))"""
 
 
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.reads(spark, sf_dir).select((F.col("id") * 1_000_000 + F.col("pos")).alias("read_id"), "seq")
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.reads(spark, sf_dir).select((F.col("id") * 1_000_000 + F.col("pos")).alias("read_id"), "seq")
     c = _refs(spark, sf_dir).withColumnRenamed("seq", "sequence")
-    return mapping.map_reads(r, mapping.unique_anchors(c, 21), 21)
+    return mapping.map_reads(_reads(spark, sf_dir), mapping.unique_anchors(c, 21), 21)
 
 
 @query(f"WITH {_ANCH}, {_READS} SELECT rid AS read_id, arg_min(contig, pos) AS contig, arg_min(cpos, pos)::INT AS contig_pos, min(pos)::INT AS read_pos, arg_min(same, pos) AS same_strand FROM met GROUP BY rid")
@@ -237,29 +259,88 @@ def insert_sizes(spark, sf_dir):
     return spark.createDataFrame([(round(mean, 4), round(deviation, 4))], "mean double, deviation double")
 
 
-_LAID = """far AS (SELECT rid, seq, contig, CASE WHEN same THEN cpos - pos ELSE cpos - (79 - pos) END AS start, same FROM (
-SELECT r.rid, any_value(r.seq) AS seq, arg_min(contig, pos) AS contig, arg_min(cpos, pos) AS cpos, min(pos) AS pos, arg_min(same, pos) AS same
-FROM (SELECT * FROM met WHERE true) m JOIN reads r USING (rid) GROUP BY r.rid)),
-laid AS (SELECT contig, start, CASE WHEN same THEN seq ELSE """ + _rc("seq") + """ END AS s FROM far),
-votes AS (SELECT contig, start + i AS pos, substr(s, i + 1, 1) AS b FROM (SELECT contig, start, s, unnest(range(0, length(s))) AS i FROM laid))"""
+@query(f"WITH {REFS}, {_kmers('w', 'refs', 9)}, o AS (SELECT canon, min(id) AS contig, arg_min(pos, pos) AS first FROM w GROUP BY canon HAVING count(DISTINCT id) = 1) SELECT contig, count(*) AS n_anchors, sum(first)::BIGINT AS places FROM o GROUP BY contig")
+def anchors_polisher(spark, sf_dir):
+    """Below 11 bases: k-mers of one contig with their first place."""
+    c = _refs(spark, sf_dir).withColumnRenamed("seq", "sequence")
+    return mapping.polisher_anchors(c, 9).groupBy("contig").agg(F.count("*").alias("n_anchors"), F.sum("pos").alias("places"))
+
+
+@query(f"""WITH {_ANCH}, {_READS}, p AS (SELECT rid, arg_min(contig, pos) AS contig, arg_min(cpos, pos) AS cpos FROM met GROUP BY rid),
+q AS (SELECT rid // 40 AS pair_id, rid % 40 AS m, contig, cpos FROM p)
+SELECT a.pair_id, a.contig AS c1, a.cpos::INT AS p1, b.contig AS c2, b.cpos::INT AS p2, (abs(a.cpos - b.cpos) + 100)::INT AS span FROM q a JOIN q b ON a.pair_id = b.pair_id AND a.m = 0 AND b.m = 20""")
+def mates_placed(spark, sf_dir):
+    """Windows of a text that follow one another as mates."""
+    r = _reads(spark, sf_dir).select("read_id", F.floor(F.col("read_id") / 40).alias("pair_id"), F.when(F.col("read_id") % 40 == 0, 1).otherwise(2).alias("mate"), "seq")
+    c = _refs(spark, sf_dir).withColumnRenamed("seq", "sequence")
+    return mapping.mate_pairs(mapping.map_reads(r, mapping.unique_anchors(c, 21), 21), r)
+
+
+@query(f"""WITH {SEQS}, {REFS}, {_kmers('p', 'refs', 15)}, l AS (SELECT id, seq FROM seqs WHERE length(seq) >= 500), {_kmers('w', 'l', 15)}, n AS (SELECT count(*) AS n FROM refs),
+s AS (SELECT canon FROM p GROUP BY canon HAVING count(*) <= 5 OR (SELECT n FROM n) <= 10), d AS (SELECT DISTINCT canon, id AS contig, kmer != canon AS f FROM p SEMI JOIN s USING (canon)),
+h AS (SELECT DISTINCT w.id AS read_id, contig, (kmer != canon) != f AS rc, pos FROM w JOIN d USING (canon) WHERE pos % 5 = 0),
+g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY read_id, contig, rc ORDER BY pos) <= 1500 THEN 0 ELSE 1 END AS new FROM h),
+j AS (SELECT *, sum(new) OVER (PARTITION BY read_id, contig, rc ORDER BY pos) AS g FROM g)
+SELECT read_id, contig, rc, min(pos)::INT AS first_pos, (max(pos) + 15)::INT AS last_pos, count(*) AS hits FROM j GROUP BY read_id, contig, rc, g""")
+def seed_anchors(spark, sf_dir):
+    """Where the long texts touch the benchmark sequences."""
+    c = _refs(spark, sf_dir).withColumnRenamed("seq", "sequence")
+    out = mapping.seed_anchors(V.seqs(spark, sf_dir).withColumnRenamed("id", "read_id"), c, 31)
+    return out.withColumnsRenamed({"start": "first_pos", "end": "last_pos"})
+
 
+@query("""WITH s AS (SELECT l_partkey AS u, l_suppkey AS v, count(*) AS support FROM lineitem GROUP BY ALL) SELECT row_number() OVER (ORDER BY support DESC, u, v) - 1 AS place, u, v, support FROM s""")
+def links_by_support(spark, sf_dir):
+    links = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).agg(F.count("*").alias("support"))
+    return resolve.by_support(links)
 
-@query(f"WITH {_ANCH}, {_READS.replace('range(0, 80, 8)', 'range(0, 80, 11)')}, {_LAID} SELECT contig, pos, sum((b = 'A')::INT)::BIGINT AS a, sum((b = 'C')::INT)::BIGINT AS c, sum((b = 'G')::INT)::BIGINT AS g, sum((b = 'T')::INT)::BIGINT AS t FROM votes WHERE b IN ('A', 'C', 'G', 'T') AND pos >= 0 GROUP BY contig, pos")
+
+# The polisher looks up windows at multiples of 21 div 2 + 1 only, the first that meets an anchor decides, and votes outside the contig are dropped.
+_VOTES = _ANCH + """, reads AS (SELECT id * 1000000 + p AS rid, substr(seq, p + 1, 100) AS seq FROM (SELECT id, seq, unnest(range(0, length(seq) - 99, 20)) AS p FROM seqs WHERE length(seq) >= 100)),
+probe AS (SELECT rid, unnest(range(0, 80, 11)) AS pos, seq FROM reads), hit AS (SELECT rid, pos, seq, substr(seq, pos + 1, 21) AS kmer FROM probe),
+met AS (SELECT rid, seq, contig, pos, cpos, (kmer != canon) = flipped AS same FROM (SELECT *, least(kmer, """ + _rc("kmer") + """) AS canon FROM hit) JOIN one USING (canon)),
+first AS (SELECT rid, any_value(seq) AS seq, arg_min(contig, pos) AS contig, arg_min(cpos, pos) AS cpos, min(pos) AS pos, arg_min(same, pos) AS same FROM met GROUP BY rid),
+laid AS (SELECT contig, CASE WHEN same THEN cpos - pos + i ELSE cpos + 20 + pos - i END AS pos, CASE WHEN same THEN substr(seq, i + 1, 1) ELSE translate(substr(seq, i + 1, 1), 'ACGT', 'TGCA') END AS b FROM (SELECT *, unnest(range(0, 100)) AS i FROM first)),
+votes AS (SELECT contig, pos, sum((b = 'A')::INT)::BIGINT AS a, sum((b = 'C')::INT)::BIGINT AS c, sum((b = 'G')::INT)::BIGINT AS g, sum((b = 'T')::INT)::BIGINT AS t
+FROM laid JOIN refs ON refs.id = contig WHERE pos >= 0 AND pos < length(refs.seq) GROUP BY contig, pos)"""
+
+
+@query(f"WITH {_VOTES} SELECT contig, pos::INT AS pos, a, c, g, t FROM votes")
 def pileup(spark, sf_dir):
-    r = V.reads(spark, sf_dir).select((F.col("id") * 1_000_000 + F.col("pos")).alias("read_id"), "seq")
-    return polish.pileup(polish.lay_reads(r, _refs(spark, sf_dir).withColumnRenamed("seq", "sequence"), 21))
+    return polish.pileup(polish.lay_reads(_reads(spark, sf_dir), _refs(spark, sf_dir).withColumnRenamed("seq", "sequence"), 21))
 
 
-@query()
+def _polished(name: str, least: int, share: float) -> str:
+    return f"""{name}_x AS (SELECT id, i AS pos, substr(seq, i + 1, 1) AS old, greatest(a, c, g, t) AS top, a + c + g + t AS total, CASE WHEN a >= greatest(c, g, t) THEN 'A' WHEN c >= greatest(g, t) THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END AS b
+FROM (SELECT id, seq, unnest(range(0, length(seq))) AS i FROM broken) LEFT JOIN votes ON votes.contig = id AND votes.pos = i),
+{name} AS (SELECT id, string_agg(CASE WHEN old != 'N' AND total >= {least} AND top / total >= {share} THEN b ELSE old END, '' ORDER BY pos) AS s, sum((old != 'N' AND total >= {least} AND top / total >= {share} AND b != old)::INT)::BIGINT AS changed FROM {name}_x GROUP BY id)"""
+
+
+_BROKEN = r"broken AS (SELECT id, regexp_replace(seq, '(.{25})[ACGT](.{9})[ACGT]', '\1N\2R', 'g') AS seq FROM refs)"
+
+
+def _breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark sequences with an N and an R in every 36 bases."""
+    return _refs(spark, sf_dir).select("id", F.regexp_replace("seq", "(.{25})[ACGT](.{9})[ACGT]", "$1N$2R").alias("sequence"))
+
+
+# Votes come from the whole sequences, so that contigs with N and R can be compared place by place.
+@query(f"WITH {_VOTES}, {_BROKEN}, {_polished('p', 5, 0.8)} SELECT id, md5(s) AS sequence, changed FROM p")
 def polished(spark, sf_dir):
-    c = _refs(spark, sf_dir).select("id", F.col("seq").alias("sequence"))
-    r = V.reads(spark, sf_dir).select((F.col("id") * 1_000_000 + F.col("pos")).alias("read_id"), "seq")
-    return polish.polish(c, r, 21)
+    votes = polish.pileup(polish.lay_reads(_reads(spark, sf_dir), _refs(spark, sf_dir).withColumnRenamed("seq", "sequence"), 21))
+    return polish.consensus(_breaks(spark, sf_dir), votes).withColumn("sequence", F.md5("sequence"))
+
+
+@query(f"WITH {_VOTES}, {_BROKEN}, {_polished('p', 12, 0.85)} SELECT id, md5(s) AS sequence, changed FROM p")
+def polished_carefully(spark, sf_dir):
+    """Careful, with a least support above the careful one."""
+    votes = polish.pileup(polish.lay_reads(_reads(spark, sf_dir), _refs(spark, sf_dir).withColumnRenamed("seq", "sequence"), 21))
+    return polish.consensus(_breaks(spark, sf_dir), votes, careful=True, min_support=12).withColumn("sequence", F.md5("sequence"))
 
 
 def _contig_links(spark: SparkSession, sf_dir: str, contigs: DataFrame) -> DataFrame:
     """(src, dst, support): keys of lineitem dealt over all contigs, in the order of their ids."""
-    ids = contigs.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("place"))
+    ids = graph.numbered(contigs.select("id"), ["id"], name="place")
     n = max(contigs.count(), 1)
     links = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % n).alias("p"), (F.col("l_suppkey") % n).alias("q")).agg(F.count("*").alias("support"))
     ends = [ids.select(F.col("place").alias(at), F.col("id").alias(name)) for at, name in (("p", "src"), ("q", "dst"))]
@@ -271,6 +352,22 @@ def scaffolds(spark, sf_dir):
     c = _refs(spark, sf_dir).select("id", F.col("seq").alias("sequence"), F.lit(10.0).alias("mean_coverage"), F.lit(1).cast("long").alias("kmers_count"))
     return resolve.build_scaffolds(c, _contig_links(spark, sf_dir, c))
 
+# Repeat resolution: from the 3' end of each contig, on contigs with overlaps of 5 bases.
+_CHOICE = f"""{SEQS}, {CONTIGS}, link AS (SELECT l_orderkey AS src, l_suppkey AS dst, count(*) AS support FROM lineitem GROUP BY ALL),
+e0 AS (SELECT a.id AS src, b.id AS dst, false AS rc FROM contigs a JOIN contigs b ON right(a.sequence, 5) = left(b.sequence, 5) AND a.id != b.id WHERE length(a.sequence) >= 5 AND length(b.sequence) >= 5
+  UNION ALL SELECT a.id, b.id, true FROM contigs a JOIN contigs b ON right(a.sequence, 5) = {_rc('right(b.sequence, 5)')} AND a.id != b.id WHERE length(a.sequence) >= 5 AND length(b.sequence) >= 5),
+e1 AS (SELECT e0.*, coalesce(support, 0) AS s, count(*) OVER (PARTITION BY e0.src) AS n_out, count(*) OVER (PARTITION BY e0.dst) AS n_in FROM e0 LEFT JOIN link USING (src, dst)),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst, rc) AS r, coalesce(lead(s) OVER (PARTITION BY src ORDER BY s DESC, dst, rc), 0) AS second FROM e1),
+e3 AS (SELECT * FROM e2 WHERE (n_out = 1 AND (n_in = 1 OR s >= 3)) OR (n_out > 1 AND r = 1 AND s >= 3 AND s / greatest(second, 1) >= 2.5)),
+e4 AS (SELECT *, count(*) OVER (PARTITION BY dst) AS n, row_number() OVER (PARTITION BY dst ORDER BY s DESC, src) AS q, coalesce(lead(s) OVER (PARTITION BY dst ORDER BY s DESC, src), 0) AS next FROM e3),
+e5 AS (SELECT src, dst, rc FROM e4 WHERE n = 1 OR (q = 1 AND s >= 3 AND (next = 0 OR s / next >= 2.5)))"""
+
+
+@query(f"WITH {_CHOICE} SELECT src, dst, rc AS dst_rc FROM e5 WHERE src NOT IN (SELECT dst FROM e5 WHERE rc)")
+def chosen_successors(spark, sf_dir):
+    links = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("support"))
+    return resolve.choose_successors(V.contigs(spark, sf_dir), links, 6)
+
 
 # Sequences and reads
 
@@ -349,10 +446,82 @@ def phred(spark, sf_dir):
     return spark.createDataFrame([(R.detect_phred(V.quals(spark, sf_dir)),)], "phred int")
 
 
-@query("SELECT doc_id, CASE WHEN source IS NOT NULL THEN source END AS barcode FROM documents")
+_BASES12 = f"left(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LET}', '{_BAS}'), 40)"
+_HEADERS = f"""heads AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'BX:Z:' || coalesce(source, '') || '-1' WHEN 1 THEN 'x BC:Z:' || left({_BASES12}, 16) || '-12' WHEN 2 THEN '#' || left({_BASES12}, 10) || '/1 BX:Y:no'
+WHEN 3 THEN 'r#' || coalesce(source, '') || '-a' WHEN 4 THEN 'BX:Z:' || {_BASES12} || ' #else' ELSE 'none' END AS head, doc_id % 6 AS kind, source, {_BASES12} AS b FROM documents),
+codes AS (SELECT doc_id, nullif(CASE kind WHEN 0 THEN coalesce(source, '') WHEN 1 THEN left(b, 16) WHEN 2 THEN left(b, 10) WHEN 3 THEN coalesce(source, '') || '-a' WHEN 4 THEN b END, '') AS barcode FROM heads)"""
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, head): headers of all shapes that can hold a barcode, and of one without."""
+    d = V.table(spark, sf_dir, "documents")
+    b = F.left(F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), V.LETTERS, V.AS_BASES), F.lit(40))
+    name, kind = F.coalesce("source", F.lit("")), F.col("doc_id") % 6
+    shapes = [F.concat(F.lit("BX:Z:"), name, F.lit("-1")), F.concat(F.lit("x BC:Z:"), F.left(b, F.lit(16)), F.lit("-12")), F.concat(F.lit("#"), F.left(b, F.lit(10)), F.lit("/1 BX:Y:no")), F.concat(F.lit("r#"), name, F.lit("-a")), F.concat(F.lit("BX:Z:"), b, F.lit(" #else"))]
+    head = F.lit("none")
+    for i, shape in enumerate(shapes):
+        head = F.when(kind == i, shape).otherwise(head)
+    return d.select("doc_id", head.alias("head"))
+
+
+@query(f"WITH {_HEADERS} SELECT doc_id, barcode FROM codes")
 def barcodes(spark, sf_dir):
-    header = F.concat(F.lit("read"), F.col("doc_id"), F.lit(" BX:Z:"), F.col("source"), F.lit("-1"))
-    return V.table(spark, sf_dir, "documents").select("doc_id", S.header_barcode(header).alias("barcode"))
+    return _headers(spark, sf_dir).select("doc_id", S.header_barcode("head").alias("barcode"))
+
+
+# 64-bit numbers as text, as SQL has them unsigned: bases in two bits each, all else by FNV-1a.
+@query(f"""WITH {_HEADERS}, n AS (SELECT doc_id, barcode, CASE WHEN regexp_matches(barcode, '^[ACGTacgt]{{1,32}}$')
+THEN list_reduce([0::HUGEINT] || list_transform(range(1, length(barcode) + 1), lambda i: (strpos('ACGT', upper(substr(barcode, i, 1))) - 1)::HUGEINT), lambda a, x: (a * 4 + x) % 18446744073709551616::HUGEINT)
+WHEN barcode IS NOT NULL THEN list_reduce([14695981039346656037::HUGEINT] || list_transform(range(1, length(barcode) + 1), lambda i: ascii(substr(barcode, i, 1))::HUGEINT), lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) END AS v FROM codes)
+SELECT doc_id, (CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END)::BIGINT AS code FROM n""")
+def barcode_numbers(spark, sf_dir):
+    return _headers(spark, sf_dir).select("doc_id", S.barcode_number(S.header_barcode("head")).alias("code"))
+
+
+@query(f"WITH {NOISY}, {QUALS} SELECT id, pos::INT AS pos, (length(seq) - length(regexp_replace(seq, '^N+', '')) + 1)::INT AS first, length(regexp_replace(seq, '^N+|N+$', '', 'g'))::INT AS kept FROM quals")
+def poly_n_ends(spark, sf_dir):
+    start, size = S.poly_n_bounds("seq")
+    return V.quals(spark, sf_dir).select("id", "pos", start.alias("first"), size.alias("kept"))
+
+
+_ADAPTERS = ("ACGTTGCAGTAC", "CATGACGTTA")
+
+
+def _adapter_sql(adapter: str, least: int) -> str:
+    m = len(adapter)
+    differ = "list_sum(list_transform(range(1, {w} + 1), lambda j: (substr(seq, x + j, 1) != substr('" + adapter + "', j, 1))::INT))"
+    tail = f"list_min(list_filter(range(greatest(length(seq) - {m}, 0), length(seq) - {least} + 1), lambda x: {differ.format(w='(length(seq) - x)')} <= greatest((length(seq) - x) // 10, (length(seq) - x >= 12)::INT)))"
+    inside = f"list_min(list_filter(range(0, length(seq) - {m} + 1), lambda x: {differ.format(w=m)} <= {max(m // 10, 1)}))"
+    return f"{tail}, {inside}"
+
+
+@query(f"WITH {NOISY}, {QUALS} SELECT id, pos::INT AS pos, least({', '.join(_adapter_sql(a, 4) for a in _ADAPTERS)})::BIGINT AS cut_at FROM quals")
+def adapter_cuts(spark, sf_dir):
+    return V.quals(spark, sf_dir).select("id", "pos", S.adapter_start("seq", list(_ADAPTERS), 4).cast("long").alias("cut_at"))
+
+
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) SELECT doc_id FROM o WHERE o < 100")
+def first_reads(spark, sf_dir):
+    return R.first_reads(graph.numbered(V.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], name="ordinal"), 100).select("doc_id")
+
+
+# Mates by neighbouring pieces of a text; a read whose mate is dropped counts as too short.
+@query(f"""WITH {NOISY}, {QUALS}, q AS (SELECT id * 100000 + pos // 240 AS pair_id, seq, {_Q} AS q FROM quals),
+f AS (SELECT pair_id, CASE WHEN length(seq) < 30 THEN 'too_short' WHEN length(seq) - length(replace(seq, 'N', '')) > 3 THEN 'too_many_ns' WHEN list_sum(q) < 0.75 * 30 * len(q) THEN 'low_quality' ELSE 'pass' END AS fate FROM q),
+g AS (SELECT fate, count(*) FILTER (fate = 'pass') OVER (PARTITION BY pair_id) AS passed FROM f)
+SELECT CASE WHEN fate = 'pass' AND passed = 1 THEN 'too_short' ELSE fate END AS fate, count(*) AS n_reads FROM g GROUP BY ALL""")
+def pair_fates(spark, sf_dir):
+    reads = V.quals(spark, sf_dir).select((F.col("id") * 100_000 + F.floor(F.col("pos") / 240)).alias("pair_id"), "seq", "qual")
+    return R.drop_reasons(R.drop_singletons(R.routed(reads.withColumn("fate", S.read_fate("seq", "qual", min_quality=30)))))
+
+
+@query("""WITH n AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS o FROM documents), a AS (SELECT o, text FROM n WHERE lang = 'en'), b AS (SELECT o, text FROM n WHERE lang = 'de')
+SELECT o AS pair_id, md5(a.text) AS r1, md5(b.text) AS r2 FROM a FULL JOIN b USING (o)""")
+def paired_files(spark, sf_dir):
+    """Texts of two languages as two files of mates; the longer one's tail has none."""
+    d = V.table(spark, sf_dir, "documents")
+    sides = [graph.numbered(d.filter(F.col("lang") == x).select("doc_id", F.md5("text").alias("seq")), ["doc_id"], name="ordinal") for x in ("en", "de")]
+    return R.pair_files(*sides)
 
 
 @query()
@@ -364,9 +533,7 @@ def preprocessed_reads(spark, sf_dir):
 @query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents), s AS (SELECT *, greatest(n // 64, 1) AS step FROM o)
 SELECT doc_id FROM s WHERE ordinal % step = 0 AND ordinal // step < 64""")
 def sampled_reads(spark, sf_dir):
-    from pyspark.sql import window as W
-
-    d = V.table(spark, sf_dir, "documents").select("doc_id").withColumn("ordinal", F.row_number().over(W.Window.orderBy("doc_id")) - 1)
+    d = graph.numbered(V.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], name="ordinal")
     return R.systematic_sample(d, 64).select("doc_id")
 
 
@@ -505,54 +672,89 @@ def covered_bases(spark, sf_dir):
     return audit.covered_bases(V.intervals(spark, sf_dir))
 
 
-@query(f"""WITH {IVS}, a AS (SELECT * FROM ivs WHERE event_id % 2 = 0), b AS (SELECT * FROM ivs WHERE event_id % 2 = 1)
-SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM a JOIN b ON a.chrom = b.chrom AND a.start <= b."end" AND b.start <= a."end" """)
+# The whole table with itself.
+_PAIRS = """a.chrom = b.chrom AND a.event_id != b.event_id AND a.start <= b."end" AND b.start <= a."end\""""
+
+
+@query(f"WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON {_PAIRS} AND a.event_id < b.event_id")
 def interval_overlaps(spark, sf_dir):
     v = V.intervals(spark, sf_dir)
-    return audit.overlap_join(v.filter("event_id % 2 = 0"), v.filter("event_id % 2 = 1"), width=256).select("l_event_id", "r_event_id")
+    return audit.overlap_join(v, v, width=256).filter("l_event_id < r_event_id").select("l_event_id", "r_event_id")
 
 
-@query(f"""WITH {IVS}, a AS (SELECT * FROM ivs WHERE event_id % 2 = 0), b AS (SELECT * FROM ivs WHERE event_id % 2 = 1)
-SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM a JOIN b ON a.chrom = b.chrom AND b.start <= a.start + 30 AND b."end" >= a."end" - 30 AND a.start - 30 <= b."end" AND b.start <= a."end" + 30""")
+@query(f"""WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON a.chrom = b.chrom AND a.event_id != b.event_id
+AND b.start <= a.start - 30 AND b."end" >= a."end" + 30""")
 def interval_containment(spark, sf_dir):
     v = V.intervals(spark, sf_dir)
-    return audit.contained(v.filter("event_id % 2 = 0"), v.filter("event_id % 2 = 1"), width=256).select("l_event_id", "r_event_id")
+    return audit.contained(v, v, width=256).filter("l_event_id != r_event_id").select("l_event_id", "r_event_id")
 
 
-@query(f"""WITH {IVS}, a AS (SELECT * FROM ivs WHERE event_id % 2 = 0), b AS (SELECT * FROM ivs WHERE event_id % 2 = 1)
-SELECT a.event_id, coalesce(max(least(a."end", b."end") - greatest(a.start, b.start) + 1), 0) AS overlap FROM a LEFT JOIN b ON a.chrom = b.chrom AND a.start <= b."end" AND b.start <= a."end" GROUP BY a.event_id""")
+@query(f"""WITH {IVS} SELECT a.event_id, coalesce(max(CASE WHEN b.event_id IS NOT NULL THEN least(a."end", b."end") - greatest(a.start, b.start) + 1 END), 0)::BIGINT AS overlap
+FROM ivs a LEFT JOIN ivs b ON {_PAIRS} GROUP BY a.event_id""")
 def longest_overlap(spark, sf_dir):
     v = V.intervals(spark, sf_dir)
-    return audit.longest_overlap(v.filter("event_id % 2 = 0"), v.filter("event_id % 2 = 1"), "event_id", 256)
+    both = audit.overlap_join(v, v, width=256).filter("l_event_id != r_event_id")
+    size = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
+    best = both.groupBy(F.col("l_event_id").alias("event_id")).agg(F.max(size).alias("overlap"))
+    return v.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
 
 
-# The whole table with itself
+@query(f"""WITH {IVS}, p AS (SELECT a.event_id AS gene, max(least(a."end", b."end") - greatest(a.start, b.start) + 1) AS n, bool_or(b.start <= a.start - 30 AND b."end" >= a."end" + 30) AS spanned
+FROM ivs a JOIN ivs b ON {_PAIRS} GROUP BY a.event_id), f AS (SELECT event_id AS gene, coalesce(spanned, false) AS spanned, 100.0 * coalesce(n, 0) / ("end" - start + 1) AS x FROM ivs LEFT JOIN p ON p.gene = ivs.event_id)
+SELECT gene, spanned, round(x, 6)::DOUBLE AS percent, CASE WHEN x >= 99 THEN '>=99' WHEN x >= 95 THEN '>=95' WHEN x >= 50 THEN '>=50' ELSE '<50' END AS bucket FROM f""")
+def gene_span(spark, sf_dir):
+    """Each event as a gene, against all other events as alignments."""
+    v = V.intervals(spark, sf_dir)
+    genes, others = v.withColumnRenamed("event_id", "gene"), v.withColumnRenamed("event_id", "other")
+    return audit.gene_span(genes, others, "gene", width=256, distinct_from="other").withColumn("percent", F.round("percent", 6))
 
 
-_PAIRS = """a.chrom = b.chrom AND a.event_id != b.event_id AND a.start <= b."end" AND b.start <= a."end\""""
+@query(f"""WITH {IVS}, p AS (SELECT a.event_id AS cen, b.event_id AS contig, a.start - b.start AS l, b."end" - a."end" AS r FROM ivs a JOIN ivs b ON a.chrom = b.chrom AND a.event_id != b.event_id AND b.start <= a.start AND b."end" >= a."end"),
+q AS (SELECT *, row_number() OVER (PARTITION BY cen ORDER BY least(l, r) DESC, l + r DESC, contig) AS n FROM p)
+SELECT event_id AS cen, CASE WHEN l IS NULL THEN 'SPLIT' WHEN least(l, r) >= 20 THEN 'INTACT' ELSE 'MARGINAL' END AS status, coalesce(l, 0)::BIGINT AS left_flank, coalesce(r, 0)::BIGINT AS right_flank, contig FROM ivs LEFT JOIN q ON cen = event_id AND n = 1""")
+def centromere_synteny(spark, sf_dir):
+    v = V.intervals(spark, sf_dir)
+    return audit.centromere_synteny(v.withColumnRenamed("event_id", "cen"), v.withColumnRenamed("event_id", "contig"), "cen", flank=20, width=256, distinct_from="contig")
 
 
-@query(f"WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON {_PAIRS} AND a.event_id < b.event_id")
-def interval_overlaps_all(spark, sf_dir):
+@query(f"""WITH {_UNION}, n AS (SELECT chrom, max("end") AS size FROM ivs GROUP BY chrom), c AS (SELECT chrom, sum("end" - start + 1)::BIGINT AS covered FROM u GROUP BY chrom)
+SELECT chrom, covered, size AS length, round(100.0 * covered / size, 6) AS percent FROM n JOIN c USING (chrom)""")
+def breadth(spark, sf_dir):
     v = V.intervals(spark, sf_dir)
-    return audit.overlap_join(v, v, width=256).filter("l_event_id < r_event_id").select("l_event_id", "r_event_id")
+    return audit.breadth(v, v.groupBy("chrom").agg(F.max("end").alias("length"))).withColumn("percent", F.round("percent", 6))
 
 
-@query(f"""WITH {IVS} SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM ivs a JOIN ivs b ON a.chrom = b.chrom AND a.event_id != b.event_id
-AND b.start <= a.start + 30 AND b."end" >= a."end" - 30 AND a.start - 30 <= b."end" AND b.start <= a."end" + 30""")
-def interval_containment_all(spark, sf_dir):
-    v = V.intervals(spark, sf_dir)
-    return audit.contained(v, v, width=256).filter("l_event_id != r_event_id").select("l_event_id", "r_event_id")
+@query(f"""WITH {SEQS}, {REFS}, {_kmers('l', 'refs', 25)}, {_kmers('w', 'seqs', 25)}, a AS (SELECT DISTINCT canon FROM w JOIN documents ON doc_id = id WHERE lang = 'en'), b AS (SELECT DISTINCT canon FROM w JOIN documents ON doc_id = id WHERE lang IS DISTINCT FROM 'en'),
+c AS (SELECT id, sum((canon IN (SELECT canon FROM a))::INT)::BIGINT AS x, sum((canon IN (SELECT canon FROM b))::INT)::BIGINT AS y FROM l GROUP BY id), n AS (SELECT id, greatest(length(seq) - 24, 0)::BIGINT AS positions FROM refs)
+SELECT id AS locus, positions, coalesce(x, 0)::BIGINT AS in_plasmids, coalesce(y, 0)::BIGINT AS in_chromosomes, round(100.0 * coalesce(x, 0) / greatest(positions, 1), 6) AS plasmid_percent, round(100.0 * coalesce(y, 0) / greatest(positions, 1), 6) AS chromosome_percent FROM n LEFT JOIN c USING (id)""")
+def replicon_recovery(spark, sf_dir):
+    """Benchmark sequences as replicons, English texts as plasmids, all others as chromosomes."""
+    lang = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("_en"))
+    c = V.contigs(spark, sf_dir).join(lang, "id")
+    out = audit.replicon_recovery(_refs(spark, sf_dir), c.filter("_en"), c.filter("NOT _en"))
+    return out.withColumns({x: F.round(x, 6) for x in ("plasmid_percent", "chromosome_percent")})
 
 
-@query(f"""WITH {IVS} SELECT a.event_id, coalesce(max(CASE WHEN b.event_id IS NOT NULL THEN least(a."end", b."end") - greatest(a.start, b.start) + 1 END), 0)::BIGINT AS overlap
-FROM ivs a LEFT JOIN ivs b ON {_PAIRS} GROUP BY a.event_id""")
-def longest_overlap_all(spark, sf_dir):
-    v = V.intervals(spark, sf_dir)
-    both = audit.overlap_join(v, v, width=256).filter("l_event_id != r_event_id")
-    size = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
-    best = both.groupBy(F.col("l_event_id").alias("event_id")).agg(F.max(size).alias("overlap"))
-    return v.select("event_id").join(best, "event_id", "left").select("event_id", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
+_PARTS = """parts AS (SELECT id AS operon, 'left' AS part, substr(seq, 1, 90) AS seq FROM refs UNION ALL SELECT id, 'inside', substr(seq, 91, 90) FROM refs UNION ALL SELECT id, 'right', substr(seq, 181, 90) FROM refs),
+keyed AS (SELECT operon || ':' || part AS id, seq FROM parts)"""
+
+
+@query(f"""WITH {SEQS}, {REFS}, {_PARTS}, {_kmers('l', 'keyed', 15)}, {_kmers('w', 'seqs', 15)}, h AS (SELECT split_part(l.id, ':', 1)::BIGINT AS operon, split_part(l.id, ':', 2) AS part, w.id AS contig FROM l JOIN w USING (canon) WHERE l.pos % 5 = 0),
+c AS (SELECT operon, contig, count(*) FILTER (part = 'left') AS l, count(*) FILTER (part = 'inside') AS i, count(*) FILTER (part = 'right') AS r FROM h GROUP BY ALL),
+o AS (SELECT operon, min(contig) FILTER (l >= 3 AND r >= 3) AS bridge, arg_max(contig, i * 1000000000 - contig) AS most FROM c WHERE i > 0 GROUP BY operon)
+SELECT refs.id AS operon, CASE WHEN bridge IS NOT NULL THEN 'BRIDGED' WHEN most IS NOT NULL THEN 'PARTIAL' ELSE 'UNCOVERED' END AS status, coalesce(bridge, most) AS contig FROM refs LEFT JOIN o ON operon = refs.id""")
+def operon_bridging(spark, sf_dir):
+    r = _refs(spark, sf_dir)
+    cuts = {"left": 1, "inside": 91, "right": 181}
+    flanks = r.select(F.col("id").alias("operon"), F.inline(F.array(*(F.struct(F.lit(p).alias("part"), F.substring("seq", at, 90).alias("seq")) for p, at in cuts.items()))))
+    return audit.operon_bridging(flanks, V.contigs(spark, sf_dir), k=15, every=5)
+
+
+@query(f"""WITH {SEQS}, {CONTIGS}, c AS (SELECT round(mean_coverage, 2)::DOUBLE AS cov FROM contigs), o AS (SELECT cov, row_number() OVER (ORDER BY cov) - 1 AS r, count(*) OVER () AS n FROM c)
+SELECT min(cov) AS low, max(CASE WHEN r = n // 2 THEN cov END) AS median, max(CASE WHEN r = floor(n * 0.95)::BIGINT THEN cov END) AS p95, max(cov) AS high, round(max(cov) / greatest(min(cov), 0.1), 6) AS fold FROM o""")
+def coverage_dynamics(spark, sf_dir):
+    headers = V.contigs(spark, sf_dir).select(F.concat(F.lit(">contig_1_len_9_cov_"), F.round("mean_coverage", 2).cast("double").cast("string"), F.lit("_x")).alias("header"))
+    return audit.coverage_dynamics(headers).withColumn("fold", F.round("fold", 6))
 
 
 # Sinks
@@ -571,6 +773,12 @@ def gfa_links(spark, sf_dir):
     return sinks.gfa_lines(V.contigs(spark, sf_dir), 11).filter(F.col("value").startswith("L")).select("value")
 
 
+@query(f"WITH {SEQS}, {CONTIGS} SELECT 'S' || chr(9) || id || chr(9) || sequence || chr(9) || 'LN:i:' || length(sequence) || chr(9) || 'cv:f:' || printf('%.1f', mean_coverage::DOUBLE) || chr(9) || 'RC:f:' || printf('%.1f', mean_coverage::DOUBLE) AS value FROM contigs")
+def gfa_segments(spark, sf_dir):
+    c = V.contigs(spark, sf_dir).withColumn("mean_coverage", F.col("mean_coverage").cast("double"))
+    return sinks.gfa_lines(c, 11).filter(F.col("value").startswith("S")).select("value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
