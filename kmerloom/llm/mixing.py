@@ -3,17 +3,18 @@
 Each source's target is its share of a budget by weight, clamped at ``max_epochs``
 times its size; what the clamp frees goes to the other sources by weight until no
 target is above its clamp.  A document is then taken a whole number of times plus,
-for the fraction that remains, once more if it comes early enough in a seeded order.
+for the fraction that remains, once more if it is among those that fill it in a seeded order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 BINS = 4096
 
@@ -60,10 +61,11 @@ def mix_sources(
 
     ``copies`` (0 to max_epochs) says how often the mix takes the document.  Sources,
     of which there are few, are the only thing that the driver sees.  The seeded order
-    is that of md5(seed, key) in ``BINS`` bins: the extra copies of a source go to the
-    leading bins whose words come nearest to the fraction that its target asks for.
-    So a rerun takes the same documents, whatever the partitions, and a source misses
-    its target by at most about half a bin.
+    is that of md5(seed, key) in ``BINS`` bins.  Of each source the bins are gone through in
+    this order, and one whose extra copies bring the sum nearer to the fraction that the
+    target asks for is taken, so a very long document that doesn't fit is passed over and
+    later ones fill what is left.  A rerun takes the same documents, whatever the
+    partitions, and a source misses its target by about half of its smallest bins.
 
     Null texts and texts without words have size 0 and still get copies; a null source
     is a source of its own; rows that repeat are taken alike; an empty table stays empty;
@@ -72,30 +74,37 @@ def mix_sources(
     """
     spark = docs.sparkSession
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    docs = docs.drop("size", "source_size", "target", "copies", "_bin", "_whole", "_last", "_source")
+    docs = docs.drop("size", "source_size", "target", "copies", "_bin", "_whole", "_bits", "_source")
     binned = docs.withColumns({"size": word_count(F.col(text)), "_bin": F.conv(F.substring(code, 1, 3), 16, 10).cast("int")})
     bins = binned.groupBy(F.col(source).alias("_source"), "_bin").agg(F.sum("size").alias("_words"))
     # at most BINS rows a source from here on
-    w = W.Window.partitionBy("_source")
-    before = W.Window.partitionBy("_source").orderBy("_bin")
-    bins = bins.select("_source", "_bin", "_words", F.sum("_words").over(before).alias("_upto")).persist()
+    bins = bins.persist()
     sizes = {r[0]: int(r[1]) for r in bins.groupBy("_source").agg(F.sum("_words")).collect()}
     total = sum(sizes.values())
     targets = water_fill(sizes, weights(sizes), total * budget_ratio if budget_ratio != 1 else total, max_epochs)
     rows = [(s, n, float(targets[s]), min(int(targets[s] // n) if n else 0, max_epochs)) for s, n in sizes.items()]
     kind = T.StructType([T.StructField("_source", docs.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_whole", T.IntegerType())])
     plan = spark.createDataFrame(rows, kind)
-    wanted = F.col("target") - F.col("_whole") * F.col("source_size")
-    cut = bins.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    # a bin goes in if that brings the sum nearer to what is wanted
-    cut = cut.filter(F.col("_upto") - F.col("_words") / 2 <= wanted).filter((wanted > 0) & (F.col("_whole") < max_epochs))
-    cut = cut.groupBy("_source").agg(F.max("_bin").alias("_last"))
-    last = {r[0]: r[1] for r in cut.collect()}
-    bins.unpersist()
-    plan = spark.createDataFrame([(*r, last.get(r[0], -1)) for r in rows], T.StructType([*kind.fields, T.StructField("_last", T.IntegerType())]))
-    # one row a source: the same bound as for the lists on the driver
-    out = binned.join(F.broadcast(plan) if len(rows) <= 100_000 else plan, F.col(source).eqNullSafe(F.col("_source")))
-    return out.withColumn("copies", F.col("_whole") + (F.col("_bin") <= F.col("_last")).cast("int")).drop("_source", "_bin", "_whole", "_last")
+    wanted = F.when(F.col("_whole") < max_epochs, F.col("target") - F.col("_whole") * F.col("source_size")).otherwise(0.0)
+    full = T.StructType([*kind.fields, T.StructField("_bits", T.ArrayType(T.LongType()))])
+    own = bins.withColumnRenamed("_source", "_s").join(plan.withColumn("_wanted", wanted), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s")
+
+    def fill(group: pa.Table) -> pa.Table:
+        """The bins of one source, BINS at most, in order; those that are taken as bits."""
+        group = group.sort_by("_bin")
+        goal, filled, taken = group.column("_wanted")[0].as_py(), 0, np.zeros(BINS, np.uint8)
+        for at, size in zip(group.column("_bin").to_pylist(), group.column("_words").to_pylist(), strict=True):
+            if goal > 0 and filled + size / 2 <= goal:
+                filled += size
+                taken[at] = 1
+        bits = np.packbits(taken, bitorder="little").view(np.int64).tolist()
+        return pa.table({**{f.name: group.column(f.name)[:1] for f in kind}, "_bits": pa.array([bits], pa.list_(pa.int64()))})
+
+    plan = own.groupBy("_source").applyInArrow(fill, full)
+    # a row of some hundred bytes for each source
+    out = binned.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, F.col(source).eqNullSafe(F.col("_source")))
+    extra = F.getbit(F.element_at("_bits", (F.floor(F.col("_bin") / 64) + 1).cast("int")), F.pmod("_bin", F.lit(64)))
+    return out.withColumn("copies", F.col("_whole") + extra.cast("int")).drop("_source", "_bin", "_whole", "_bits")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:

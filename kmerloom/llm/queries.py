@@ -84,7 +84,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 3))::INT AS bin
   FROM documents),
@@ -102,12 +102,15 @@ t AS (SELECT w.source, w.source_size,
              CASE WHEN (SELECT lvl FROM pick) * w.w > 3 * w.source_size THEN (3 * w.source_size)::DOUBLE
                   ELSE coalesce((SELECT lvl FROM pick) * w.w, 3 * w.source_size) END AS target FROM w),
 p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size), 3)::INT END AS whole FROM t),
-b AS (SELECT source, bin, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS upto FROM d GROUP BY source, bin),
-c AS (SELECT b.source, max(bin) AS last_bin FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source
-      WHERE whole < 3 AND target - whole * source_size > 0 AND upto - words / 2 <= target - whole * source_size GROUP BY b.source)
+b AS (SELECT source, bin, sum(size) AS words, row_number() OVER (PARTITION BY source ORDER BY bin) AS k FROM d GROUP BY source, bin),
+f(source, k, upto, bin, taken) AS (  -- bin by bin: one goes in if that brings the sum nearer to what is wanted
+  SELECT source, 0::BIGINT, 0::BIGINT, -1, false FROM p WHERE whole < 3 AND target - whole * source_size > 0
+  UNION ALL
+  SELECT f.source, b.k, (upto + CASE WHEN upto + words / 2 <= target - whole * source_size THEN words ELSE 0 END)::BIGINT, b.bin, upto + words / 2 <= target - whole * source_size
+  FROM f JOIN b ON b.source IS NOT DISTINCT FROM f.source AND b.k = f.k + 1 JOIN p ON p.source IS NOT DISTINCT FROM f.source)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       (d.size * (p.whole + CASE WHEN d.bin <= coalesce(c.last_bin, -1) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+       (d.size * (p.whole + coalesce(f.taken, false)::INT))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.bin = f.bin
 """
 
 _W = r"[^\x20\x09-\x0D]+"

@@ -216,3 +216,13 @@ def test_lm_losses_equal_brute_force(spark):
         assert out[i].loss_background == pytest.approx(loss(texts, t), abs=1e-5)
     assert out[5].n_tokens == 0
     assert out[1].ce_difference < out[2].ce_difference
+
+
+def test_a_long_document_does_not_keep_others_out(spark):
+    # the target asks for a part of the words only; one document has most of them
+    rows = [(i, "a", "w " * (600 if i == 0 else 10)) for i in range(41)] + [(100 + i, "b", "w " * 10) for i in range(500)]
+    for seed in ("x", "y", "z"):
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=lambda s: {"a": 1, "b": 20}, seed=seed).collect()
+        own = [r for r in out if r.source == "a"]
+        assert own[0].target < 600
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 10
