@@ -262,8 +262,7 @@ class TrieBpe:
         self.long.clear()
 
     def ids(self, text: str) -> list[int]:
-        pieces, table = next(iter(self.encode([text])))
-        return [int(i) for p in pieces for i in table[p].split(",") if i]
+        return [int(i) for pieces, table in self.encode([text]) for p in pieces for i in table[p].split(",") if i]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
