@@ -105,7 +105,26 @@ def solid_cutoff(spark, sf_dir):
     return spark.createDataFrame([(kmers.solid_cutoff(kmers.count_packed(V.seqs(spark, sf_dir), K)),)], "cutoff int")
 
 
-@query()
+def _canon(x: str) -> str:
+    return f"least({x}, {_rc(x)})"
+
+
+# A step makes the next change of each sequence: of the first window that has one, the substitution that gains most.
+_CORRECTION = f"""solid AS MATERIALIZED (SELECT canon AS s FROM w GROUP BY canon HAVING count(*) >= 2),
+f(id, seq, since, changed) AS (SELECT id, seq, 0::BIGINT, 0::BIGINT FROM refs UNION ALL
+SELECT id, left(seq, i + o) || b || substr(seq, i + o + 2), i + 1, changed + 1 FROM (
+  WITH win AS (SELECT id, seq, since, changed, i, substr(seq, i + 1, 21) AS x FROM (SELECT *, unnest(range(0, length(seq) - 20)) AS i FROM f)),
+  known AS (SELECT win.*, s IS NOT NULL AS ok FROM win LEFT JOIN solid ON s = {_canon('x')}),
+  tried AS (SELECT id, seq, since, changed, i, o, b, left(x, o) || b || substr(x, o + 2) AS y FROM (SELECT *, unnest(range(0, 21)) AS o FROM known WHERE NOT ok AND i >= since), (VALUES ('A'), ('C'), ('G'), ('T')) AS v(b) WHERE b != substr(x, o + 1, 1)),
+  good AS (SELECT tried.* FROM tried JOIN solid ON s = {_canon('y')}),
+  spread AS (SELECT *, unnest(range(greatest(0, i + o - 20), least(i + o, length(seq) - 21) + 1)) AS j FROM good),
+  near AS (SELECT spread.*, substr(left(seq, i + o) || b || substr(seq, i + o + 2), j + 1, 21) AS z FROM spread),
+  gain AS (SELECT near.id, near.seq, near.since, near.changed, near.i, o, b, count(s) - sum(known.ok::INT) AS gain FROM near LEFT JOIN solid ON s = {_canon('z')} JOIN known ON known.id = near.id AND known.i = near.j GROUP BY ALL),
+  best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, gain DESC, o, b) AS n FROM gain WHERE gain > 0)
+  SELECT * FROM best WHERE n = 1))"""
+
+
+@query(f"WITH RECURSIVE {SEQS}, {REFS}, {_kmers('w', 'seqs', 21)}, {_CORRECTION} SELECT id, arg_max(seq, changed) AS seq, max(changed) AS changed FROM f GROUP BY id")
 def corrected_reads(spark, sf_dir):
     """Benchmark sequences against the solid k-mers of the documents."""
     return kmers.correct_reads(_refs(spark, sf_dir), kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), 21)), 21)
