@@ -189,6 +189,26 @@ def _list_rank(start: DataFrame, links: DataFrame, max_rounds: int) -> DataFrame
     return out.unionByName(_list_rank(again, inner, max_rounds))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every end of the edges (u, v): the smallest node reachable.
+
+    Each round a node takes the smallest label of its neighbours, then the label of its label,
+    so rounds are about the logarithm of the longest way.
+    """
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
+    state = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("component")))
+    while True:
+        near = both.join(state.select(F.col("node").alias("v"), F.col("component").alias("other")), "v").groupBy(F.col("u").alias("node")).agg(F.min("other").alias("other"))
+        moved = cut(state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("component")))
+        up = moved.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        after = cut(moved.join(up, "component").select("node", "was", F.least("component", "above").alias("component")))
+        _remove(edges.sparkSession, state._cut_path)
+        _remove(edges.sparkSession, moved._cut_path)
+        state = after
+        if after.filter("was != component").isEmpty():
+            return after.select("node", "component")
+
+
 # K-mer graph
 
 
@@ -396,4 +416,4 @@ def length_filter(contigs: DataFrame, min_length: int) -> DataFrame:
     return _number(contigs.filter(F.length("sequence") >= min_length))
 
 
-__all__ = ["adjacency", "clip_tips", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "numbered", "out_degrees", "overlaps", "pop_bubbles", "scope", "simplify", "stitch", "unambiguous", "unitigs", "upper_median"]
+__all__ = ["adjacency", "clip_tips", "components", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "numbered", "out_degrees", "overlaps", "pop_bubbles", "scope", "simplify", "stitch", "unambiguous", "unitigs", "upper_median"]

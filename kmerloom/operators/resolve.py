@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import seq as S
-from .graph import _number, cut, list_rank, numbered, overlaps, upper_median
+from .graph import _number, components, cut, list_rank, numbered, overlaps, upper_median
 from .mapping import seed_anchors
 from .packed import kmer_tallies
 from .reads import systematic_sample
@@ -147,11 +147,42 @@ def scaffold_order(ids: list[int], links: list[tuple[int, int, int]], min_links:
     return chains
 
 
-def _spell(contigs: DataFrame, chains: list[list[int]], join, weight: str = "length") -> DataFrame:
-    """Chains to sequences; ``join(list of sequences)`` spells one in the task that holds it."""
+LOCAL_LINKS = 1_000_000  # so many are put in order on the driver; of more, each component in a task
+PLAN = "chain long, rank long, id long"
+
+
+def _rows(chains: list[list[int]]) -> list[tuple[int, int, int]]:
+    return [(chain[0], i, x) for chain in chains for i, x in enumerate(chain)]
+
+
+def _plan(contigs: DataFrame, links: DataFrame, order, local_links: int) -> DataFrame:
+    """(chain, rank, id) of every contig; ``order(ids, links)`` makes chains of the contigs that links (u, v, support) join.
+
+    What is chosen in one component of the links doesn't depend on any other, so many links
+    are dealt to tasks by component; a contig without links is a chain of its own.
+    """
     spark = contigs.sparkSession
-    rows = [(c, i, x) for c, chain in enumerate(chains) for i, x in enumerate(chain)]
-    plan = spark.createDataFrame(rows, "chain long, rank long, id long")
+    links = cut(links.select("u", "v", "support"))
+    if links.limit(local_links + 1).count() <= local_links:
+        found = [tuple(r) for r in links.collect()]
+        ids = sorted({x for u, v, _ in found for x in (u, v)})
+        plan = spark.createDataFrame(_rows(order(ids, found)), PLAN)
+    else:
+        at = components(links)
+
+        def per(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = list(pdf[["u", "v", "support"]].itertuples(index=False, name=None))
+            ids = sorted({x for u, v, _ in found for x in (u, v)})
+            return pd.DataFrame(_rows(order(ids, found)), columns=["chain", "rank", "id"])
+
+        plan = links.join(at.withColumnRenamed("node", "u"), "u").groupBy("component").applyInPandas(per, PLAN)
+    plan = cut(plan)
+    alone = contigs.select("id").join(plan.select("id"), "id", "left_anti")
+    return plan.join(contigs.select("id"), "id", "left_semi").select("chain", "rank", "id").unionByName(alone.select(F.col("id").alias("chain"), F.lit(0).cast("long").alias("rank"), "id"))
+
+
+def _spell(contigs: DataFrame, plan: DataFrame, join) -> DataFrame:
+    """Chains to sequences; ``join(list of sequences)`` spells one in the task that holds it."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
@@ -162,17 +193,18 @@ def _spell(contigs: DataFrame, chains: list[list[int]], join, weight: str = "len
     return _number(contigs.join(plan, "id").groupBy("chain").applyInPandas(fold, CONTIG))
 
 
-def build_scaffolds(contigs: DataFrame, links: DataFrame, reads: DataFrame | None = None, min_links: int = 3, gap: int = 50, k: int = 21, pool: int = 8192) -> DataFrame:
+def build_scaffolds(contigs: DataFrame, links: DataFrame, reads: DataFrame | None = None, min_links: int = 3, gap: int = 50, k: int = 21, pool: int = 8192, ratio: float = 1.25, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Contigs chained by their pairs; a gap is closed by overlap or reads, or holds ``gap`` Ns.
 
-    The driver orders the links, which has a row for each linked pair of contigs.  ``reads``
-    holds (ordinal, seq); ``pool`` of them at most, every n-th, are sent to the tasks that
-    close gaps.
+    Links are put in order on the driver up to ``local_links``, by component in tasks beyond;
+    both choose alike.  ``reads`` holds (ordinal, seq); ``pool`` of them at most, every n-th,
+    are sent to the tasks that close gaps.
     """
-    ids = [r[0] for r in contigs.select("id").orderBy("id").collect()]
-    if len(ids) <= 1:
+    if contigs.limit(2).count() < 2:
         return _number(contigs)
-    chains = scaffold_order(ids, [tuple(r) for r in links.select("src", "dst", "support").collect()], min_links)
+    # a weaker link is never taken, nor strong enough to make another one doubtful
+    strong = links.filter(F.col("support") * ratio > min_links).select(F.col("src").alias("u"), F.col("dst").alias("v"), "support")
+    plan = _plan(contigs, strong, lambda ids, found: scaffold_order(ids, found, min_links, ratio), local_links)
     sample: list[str] = []
     if reads is not None:
         sample = [r[0] for r in systematic_sample(reads, pool).orderBy("ordinal").select("seq").collect()]
@@ -184,15 +216,11 @@ def build_scaffolds(contigs: DataFrame, links: DataFrame, reads: DataFrame | Non
             out = close_gap(out, p, shared.value, k) or out + "N" * gap + p
         return out
 
-    return _spell(contigs, chains, join)
+    return _spell(contigs, plan, join)
 
 
-def linked_scaffolds(contigs: DataFrame, links: DataFrame, gap: int = 100) -> DataFrame:
-    """Contigs chained by shared barcodes (u, v, support), strongest pairs first, with ``gap`` Ns between.
-
-    Each contig has one neighbour on either side and no chain closes; strands stay as they are.
-    """
-    pairs = [tuple(r) for r in links.orderBy(F.desc("support"), "u", "v").select("u", "v").collect()]
+def linked_order(ids: list[int], links: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Chains by links (u, v, support), those with the most support first: one neighbour on either side, no chain closes."""
     right: dict[int, int] = {}
     left: dict[int, int] = {}
     of: dict[int, int] = {}
@@ -202,23 +230,31 @@ def linked_scaffolds(contigs: DataFrame, links: DataFrame, gap: int = 100) -> Da
             of[x] = x = of[of[x]]
         return x
 
-    for u, v in pairs:
+    for u, v, _ in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
         for a, b in ((u, v), (v, u)):
             if root(a) != root(b) and a not in right and b not in left:
                 right[a], left[b] = b, a
                 of[root(a)] = root(b)
                 break
-    if not right:
-        return contigs
     chains = []
-    for i in (r[0] for r in contigs.select("id").orderBy("id").collect()):
+    for i in ids:
         if i in left:
             continue
         chain = [i]
         while chain[-1] in right:
             chain.append(right[chain[-1]])
         chains.append(chain)
-    return _spell(contigs, chains, lambda parts: ("N" * gap).join(parts))
+    return chains
+
+
+def linked_scaffolds(contigs: DataFrame, links: DataFrame, gap: int = 100, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """Contigs chained by shared barcodes (u, v, support), strongest pairs first, with ``gap`` Ns between.
+
+    Each contig has one neighbour on either side and no chain closes; strands stay as they are.
+    """
+    if links.isEmpty():
+        return contigs
+    return _spell(contigs, _plan(contigs, links, linked_order, local_links), lambda parts: ("N" * gap).join(parts))
 
 
 # Long reads

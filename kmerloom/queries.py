@@ -388,6 +388,14 @@ def chosen_successors(spark, sf_dir):
     return resolve.choose_successors(V.contigs(spark, sf_dir), links, 6)
 
 
+@query(f"""WITH RECURSIVE {SEQS}, {CONTIGS}, l AS (SELECT DISTINCT a.id AS u, b.id AS v FROM contigs a JOIN contigs b ON right(a.sequence, 8) = left(b.sequence, 8) WHERE length(a.sequence) >= 8 AND length(b.sequence) >= 8),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r(node, c) AS (SELECT u, u FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.node WHERE r.c < e.v) SELECT node, min(c) AS component FROM r GROUP BY node""")
+def contig_components(spark, sf_dir):
+    """Contigs that overlaps of 8 bases on the same strand join."""
+    e = graph.overlaps(V.contigs(spark, sf_dir), 9).filter("NOT src_rc AND NOT dst_rc")
+    return graph.components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
 # Sequences and reads
 
 
