@@ -39,9 +39,9 @@ def reads(spark: SparkSession, sf_dir: str, length: int = 100, step: int = 20) -
 
 def quals(spark: SparkSession, sf_dir: str, length: int = 120) -> DataFrame:
     """(id, pos, seq, qual): pieces of the noisy sequences with a quality made of their own characters."""
-    s = noisy_seqs(spark, sf_dir).filter(F.length("seq") > 0)
-    at = s.select("id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(length))).alias("pos"))
-    piece = at.select("id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(length)).alias("seq"))
+    # the pieces themselves are exploded: a row that held its place only would carry the whole text to a Python function
+    at = noisy_seqs(spark, sf_dir).select("id", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{length}}}"), F.lit(0))).alias("_n", "seq"))
+    piece = at.select("id", (F.col("_n") * length).alias("pos"), "seq")
     # A quality character for each base
     return piece.withColumn("qual", F.translate(F.concat(F.substring("seq", 3, length), F.lit("GA")), "ACGTN", "I?5+#"))
 
