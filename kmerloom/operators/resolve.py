@@ -27,18 +27,47 @@ def rc(seq: str) -> str:
 # Paired-end repeat resolution
 
 
+def _candidates(contigs: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(src, dst, dst_rc, support, n_out, n_in): the ways out of 3' ends that can be chosen.
+
+    These are the lone ones and those with a link; of several without any none is ever
+    clear.  The degrees count all of them by the k - 1 bases that contigs end and begin
+    with, so the ways themselves, whose number grows with the square of the contigs, are
+    not made.
+    """
+    s = contigs.filter((F.length("sequence") >= k - 1) & F.col("id").isNotNull())
+    tips = cut(s.select("id", F.left("sequence", F.lit(k - 1)).alias("first"), F.right("sequence", F.lit(k - 1)).alias("last")))
+    ends = tips.select(F.col("id").alias("src"), F.col("last").alias("over"))
+    starts = tips.select(F.col("id").alias("dst"), F.lit(False).alias("dst_rc"), F.col("first").alias("over"))
+    starts = starts.unionByName(tips.select(F.col("id").alias("dst"), F.lit(True).alias("dst_rc"), S.revcomp("last").alias("over")))
+
+    def degrees(of: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
+        """The rows with how many of the others meet them, but for those of the same contig."""
+        met = others.groupBy("over").agg(F.count("*").alias("_all"))
+        own = others.groupBy(F.col(other).alias(name), "over").agg(F.count("*").alias("_own"))
+        return of.join(met, "over").join(own, [name, "over"], "left").withColumn("_n", F.col("_all") - F.coalesce("_own", F.lit(0))).drop("_all", "_own")
+
+    ways = cut(degrees(ends, starts, "src", "dst").filter("_n > 0"))
+    n_out = ways.groupBy("src").agg(F.sum("_n").alias("n_out"))
+    n_in = degrees(starts, ends, "dst", "src").groupBy("dst").agg(F.sum("_n").alias("n_in"))
+    links = links.select("src", "dst", "support")
+    lone = ways.join(n_out.filter("n_out = 1"), "src").join(starts, "over").filter("src != dst").select("src", "dst", "dst_rc", "n_out")
+    lone = lone.join(links, ["src", "dst"], "left").select("src", "dst", "dst_rc", "support", "n_out")
+    linked = links.join(ways.join(n_out.filter("n_out > 1"), "src"), "src").join(starts, ["dst", "over"]).filter("src != dst").select("src", "dst", "dst_rc", "support", "n_out")
+    return lone.unionByName(linked).join(n_in, "dst").withColumn("support", F.coalesce("support", F.lit(0)))
+
+
 def choose_successors(contigs: DataFrame, links: DataFrame, k: int, min_support: int = 3, ratio: float = 2.5) -> DataFrame:
     """(src, dst, dst_rc): where each contig goes on from its 3' end, at most one way out and one in.
 
     A lone successor that nothing else leads to is taken as it is, one that others lead to
     too with ``min_support`` pairs.  Of several the best needs that support and ``ratio``
     times that of the second.  Of several that lead to one contig the same rule picks one.
-    A contig that is entered by its 3' end has no way out there.
+    A contig that is entered by its 3' end has no way out there.  ``ratio`` is above 0.
     """
-    e = overlaps(contigs, k).filter("NOT src_rc AND src != dst").select("src", "dst", "dst_rc")
-    out, into = W.Window.partitionBy("src"), W.Window.partitionBy("dst")
-    e = e.withColumn("n_out", F.count("*").over(out)).withColumn("n_in", F.count("*").over(into))
-    e = e.join(links, ["src", "dst"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    if ratio <= 0:
+        raise ValueError(f"a ratio is above 0, not {ratio}")
+    e, into = _candidates(contigs, links, k), W.Window.partitionBy("dst")
 
     def ranked(df: DataFrame, by: str, other: list[str]) -> DataFrame:
         w = W.Window.partitionBy(by).orderBy(F.desc("support"), *other)
