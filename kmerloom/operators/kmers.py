@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import seq as S
-from . import packed
+from . import packed, runs
 
 
 def kmer_rows(seqs: DataFrame, k: int, keep: list[str] | None = None, seq: str = "seq") -> DataFrame:
@@ -43,9 +43,12 @@ def kmer_rows(seqs: DataFrame, k: int, keep: list[str] | None = None, seq: str =
 def count_packed(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(kmer, cnt long): canonical k-mers, two bits a base (see ``packed``).
 
-    They are counted within each piece of an Arrow batch before the shuffle; the sums use
-    Spark's partial aggregation.
+    From ``runs.LEAST_K`` bases on runs of windows are dealt and counted where they meet.
+    Shorter ones are counted within each piece of an Arrow batch before the shuffle; the sums
+    use Spark's partial aggregation.
     """
+    if k >= runs.LEAST_K:
+        return runs.counts(seqs, k, seq)
     return packed.kmer_tallies(seqs, k, seq=seq).groupBy(F.col("canon").alias("kmer")).agg(F.sum("n").alias("cnt"))
 
 

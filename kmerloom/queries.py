@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import audit, graph, kmers, mapping, metrics, modes, packed, polish, resolve
+from .operators import audit, graph, kmers, mapping, metrics, modes, packed, polish, resolve, runs
 from .operators import reads as R
 from .plans import views as V
 from .sources import sinks
@@ -83,8 +83,7 @@ def prior_boost(spark, sf_dir):
 @query(f"""WITH {SEQS}, {_kmers('w', 'seqs', K)}, c AS (SELECT canon FROM w GROUP BY canon HAVING count(*) >= 2)
 SELECT id, count(*) AS n_solid FROM w WHERE canon IN (SELECT canon FROM c) GROUP BY id""")
 def solid_membership(spark, sf_dir):
-    s = V.seqs(spark, sf_dir)
-    return kmers.solid_tallies(s, kmers.solid(kmers.count_packed(s, K), 2), K)
+    return runs.members(V.seqs(spark, sf_dir), K, 2)
 
 
 @query(f"""WITH {SEQS}, {_kmers('w', 'seqs', K)}, c AS (SELECT canon, count(*) AS cnt FROM w GROUP BY canon HAVING count(*) >= 3)
