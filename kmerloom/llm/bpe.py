@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrowmap import tidy
+
 #: The pre-tokenizer pattern of byte-level BPE, with white space spelled out as a Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -312,4 +314,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, out_schema, strict=True)], schema=out_schema)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)

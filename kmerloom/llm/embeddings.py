@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
+from .arrowmap import tidy
 from .graph import connected_components
 from .store import Scratch
 
@@ -145,7 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
             p += JITTER * (textbuf.mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(11)) / 2.0**53
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), pa.array(p)], names=["rep", "size", "v", "dim", "p"])
 
-    placed = scratch.write(classes.select("rep", "size", "v").mapInArrow(place, "rep long, size long, v array<double>, dim int, p double"))
+    placed = scratch.write(classes.select("rep", "size", "v").mapInArrow(tidy(place), "rep long, size long, v array<double>, dim int, p double"))
     found = dict(placed.groupBy("dim").count().collect())  # a row for each length of a vector
 
     def chunks_of(dim: int, n: int) -> int:
@@ -209,7 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
         some = links > 0
         return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "root": rep[root[some]]})
 
-    pairs = placed.select("rep", "size", "v", "dim", "p").mapInArrow(deal, "dim int, c int, d int, second boolean, rep long, size long, v array<double>")
+    pairs = placed.select("rep", "size", "v", "dim", "p").mapInArrow(tidy(deal), "dim int, c int, d int, second boolean, rep long, size long, v array<double>")
     links = scratch.write(pairs.groupBy("dim", "c", "d").applyInArrow(link, "rep long, links long, root long"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)

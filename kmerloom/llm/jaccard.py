@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .arrowmap import tidy
 from .graph import connected_components
 from .planes import from_planes, to_planes
 from .store import Scratch, batch_rows
@@ -97,7 +98,7 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
         return pa.table({"segment": group.column("segment")[:1], "slot": pa.array([0], pa.int32()), "seen": pa.array([to_planes(total)], pa.binary())})
 
     schema = "segment int, slot int, seen binary"
-    shares = docs.select("text").mapInArrow(tally, schema).groupBy("segment", "slot").applyInArrow(add, schema)
+    shares = docs.select("text").mapInArrow(tidy(tally), schema).groupBy("segment", "slot").applyInArrow(add, schema)
     total = sorted((r.segment, from_planes(pa.scalar(r.seen))) for r in shares.groupBy("segment").applyInArrow(add, schema).collect())
     seen = np.concatenate([x for _, x in total]) if total else np.zeros(BUCKETS, np.int64)
     return np.minimum(np.round(8 * np.log2(1 + seen)), 255).astype(np.uint8)
@@ -207,7 +208,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
                 maps = _parity_maps(h, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, keys), pa.array(n.astype(np.int64)), lists, *(pa.array(maps[:, i]) for i in range(MAP_LONGS))], names=["id", "ka", "kb", "n", "short", *MAPS])
 
-    feats = scratch.write(docs.mapInArrow(features, "id long, ka long, kb long, n long, short array<long>, " + ", ".join(f"{m} long" for m in MAPS)))
+    feats = scratch.write(docs.mapInArrow(tidy(features), "id long, ka long, kb long, n long, short array<long>, " + ", ".join(f"{m} long" for m in MAPS)))
     # of a key with several texts the smallest set stands for all of its rows
     own = F.struct("n", "ka", "kb")
     several = feats.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(own).alias("one"), F.max(own).alias("last")).filter("one != last").select(F.col("id").alias("_id"), F.col("one.ka").alias("_ka"), F.col("one.kb").alias("_kb"))
@@ -253,7 +254,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
 
     entries = reps.select(F.col("id").alias("rep"), "n", F.explode("short").alias("token")).select("token", "rep", "n")
     entries = entries.repartition("token").sortWithinPartitions("token", "n", "rep")
-    lists = scratch.write(entries.mapInArrow(lists_of, "token long, rep long, n long, head long, head_n long"))
+    lists = scratch.write(entries.mapInArrow(tidy(lists_of), "token long, rep long, n long, head long, head_n long"))
     small = scratch.write(feats.drop("short", *MAPS))
     maps = scratch.write(reps.select(F.col("id").alias("rep"), *MAPS).join(lists.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
     scratch.drop(feats)
@@ -279,7 +280,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, key_of), lists_], names=["rep", "ka", "kb", "tokens"])
 
     wanted = busy.select(F.col("rep").alias("id"))
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(sets_of, "rep long, ka long, kb long, tokens array<long>")
+    sets = docs.join(wanted, "id", "left_semi").mapInArrow(tidy(sets_of), "rep long, ka long, kb long, tokens array<long>")
     sets = sets.join(several, F.col("rep") == F.col("_id"), "left").filter("_id IS NULL OR (ka = _ka AND kb = _kb)")
     sets = scratch.write(sets.select("rep", "tokens").dropDuplicates(["rep"]))
     scratch.reclaim()
@@ -317,7 +318,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     def verified(pairs: DataFrame) -> DataFrame:
         both = attach(pairs, sets).select("a", "b", "tokens_a", "tokens_b")
         with batch_rows(spark, 128):  # a row holds two whole sets
-            return scratch.write(both.mapInArrow(probe, "a long, b long, overlap long"))
+            return scratch.write(both.mapInArrow(tidy(probe), "a long, b long, overlap long"))
 
     # Two stars for each list: its head, and its hub, the member that stands in the longest lists.  An original is the
     # hub of its copies, even where these are too far from one another.

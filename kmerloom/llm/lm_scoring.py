@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .arrowmap import tidy
 from .planes import from_planes, to_planes
 from .store import Scratch, batch_rows
 
@@ -76,7 +77,7 @@ def trigram_counts(docs: DataFrame, wanted: Column, text: str = "text") -> DataF
             both[s][np.searchsorted(keys, k)] = n
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(both[True] + both[False]), pa.array(both[True])], names=["code", "n_background", "n_target"])
 
-    parts = docs.select(text, wanted.alias("_wanted")).mapInArrow(run, "code long, n_background long, n_target long")
+    parts = docs.select(text, wanted.alias("_wanted")).mapInArrow(tidy(run), "code long, n_background long, n_target long")
     return parts.groupBy("code").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
 
 
@@ -151,7 +152,7 @@ def score_documents(docs: DataFrame, models: Models, key: str = "doc_id", text:
                     mean.append((upto[offs[1:]] - upto[offs[:-1]]) / np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(out[0].type), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (*mean, mean[0] - mean[1]))], schema=out)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)
 
 
 START = np.uint64(0)  # stands before the first word of every text
@@ -262,12 +263,12 @@ def score_by_words(docs: DataFrame, wanted: Column, key: str = "doc_id", text: s
         out["n_distinct"] = pa.array([distinct] + [0] * (len(parts) - 1), pa.int64())
         return pa.table(out)
 
-    runs = scratch.write(docs.select(key, text, wanted.alias("_wanted")).mapInArrow(pack, packed_schema))
+    runs = scratch.write(docs.select(key, text, wanted.alias("_wanted")).mapInArrow(tidy(pack), packed_schema))
     size = runs.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(8, ceil(log2(max(size, 1) / BUCKET)))
     scratch.reclaim()
     with batch_rows(spark, 4):  # a row holds a run
-        sent = runs.drop("keys").mapInArrow(send, "run long, bucket int, codes binary, background binary, target binary, n_words long, n_wanted long")
+        sent = runs.drop("keys").mapInArrow(tidy(send), "run long, bucket int, codes binary, background binary, target binary, n_words long, n_wanted long")
         replies = scratch.write(sent.groupBy("bucket").applyInArrow(reply, "run long, bucket int, n_words long, n_wanted long, background binary, target binary, n_distinct long"))
     n_words, n_wanted, vocabulary = (int(x or 0) for x in replies.agg(F.sum("n_words"), F.sum("n_wanted"), F.sum("n_distinct")).first())
     vocabulary = max(vocabulary - 1, 1)  # without START

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf
+from .arrowmap import tidy
 from .store import Scratch
 
 #: Perfect difference sets; every non-zero residue is a difference exactly once.
@@ -62,7 +63,7 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 token = np.concatenate((textbuf.window_hashes(hashes, first, width), whole)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[lo + np.concatenate((doc, long_))]), pa.array(np.concatenate((pos, np.full(len(long_), WHOLE))).astype(np.int32))], names=["token", "id", "pos"])
 
-    return docs.mapInArrow(run, "token long, id long, pos int")
+    return docs.mapInArrow(tidy(run), "token long, id long, pos int")
 
 
 def _shared(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
@@ -112,7 +113,7 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
                 tokens = textbuf.window_hashes(hashes, first, min_words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids[lo + of]), pa.array((first - bounds[of]).astype(np.int32))], names=["token", "id", "pos"])
 
-    return docs.mapInArrow(run, "token long, id long, pos int")
+    return docs.mapInArrow(tidy(run), "token long, id long, pos int")
 
 
 def repeated_windows(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
@@ -179,4 +180,4 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
 
     joined = docs.join(starts, docs[key].cast("long") == F.col("_id"), "left").select(*(docs[c] for c in docs.columns), "_starts")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

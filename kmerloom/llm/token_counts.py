@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrowmap import tidy
+
 
 CACHE_WORDS = 250_000
 SPACE = "▁"  # stands for a space in vocabulary entries
@@ -170,4 +172,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
                 counts = counter.counts(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(out[0].type), pc.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64())], schema=out)
 
-    return docs.select(key, text).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select(key, text).mapInArrow(tidy(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)
