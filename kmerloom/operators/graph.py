@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions import seq as S
-from . import packed
-from .kmers import _keyed, mean_coverage
+from . import packed, paths, runs
+from .kmers import _keyed, count_packed, mean_coverage
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -289,9 +289,6 @@ def _number(seqs: DataFrame) -> DataFrame:
     return out.select("id", "sequence", "mean_coverage", "kmers_count")
 
 
-PIECE = 4096  # bases of a path that are put in order together
-
-
 def unitigs(counts: DataFrame, k: int) -> DataFrame:
     """Maximal unambiguous paths of solid k-mers as (id, sequence, mean_coverage, kmers_count).
 
@@ -299,21 +296,19 @@ def unitigs(counts: DataFrame, k: int) -> DataFrame:
     unitig; of the two strands of a unitig the smaller sequence stays.  An isolated cycle
     starts at its smallest k-mer.  A unitig's sequence becomes one value, so it must fit in memory.
     """
-    with scope(counts.sparkSession) as keep:
-        nodes = cut(oriented(counts.select("kmer", "cnt"), k))
-        links = cut(unambiguous(nodes))
-        ranked = list_rank(nodes.select("node"), links)
-        placed = ranked.join(nodes.select("node", "canon", "base", "cnt"), "node")
-        pieces = placed.groupBy("head", F.floor(F.col("rank") / PIECE).alias("piece")).agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "base"))), lambda x: x["base"]), "").alias("bases"), F.sum("cnt").alias("cnt"), F.count("*").alias("n"), F.min("canon").alias("low")
-        )
-        parts = pieces.groupBy("head").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "bases"))), lambda x: x["bases"]), "").alias("tail"), (F.sum("cnt") / F.sum("n")).alias("mean_coverage"), F.sum("n").alias("kmers_count"), F.min("low").alias("_least")
-        )
-        spelled = packed.decoded(parts, k, "head").withColumn("sequence", F.concat(F.left("head", F.lit(k - 1)), "tail"))
-        # both strands of a path hold the same k-mers; a cycle may be spelled from either strand's smallest
-        best = spelled.groupBy("_least").agg(F.min(F.least("sequence", S.revcomp("sequence"))).alias("sequence"), F.first("mean_coverage").alias("mean_coverage"), F.first("kmers_count").alias("kmers_count"))
-        return keep(_number(best))
+    return _unitigs(paths.of_counts(_keyed(counts.select("kmer", "cnt"), k), k), k)
+
+
+def unitigs_of(seqs: DataFrame, k: int, least: int, seq: str = "seq") -> DataFrame:
+    """The ``unitigs`` of the k-mers that come ``least`` times or more; they are counted where they are joined."""
+    if k < runs.LEAST_K:
+        return unitigs(count_packed(seqs, k, seq).filter(F.col("cnt") >= least), k)
+    return _unitigs(paths.of_reads(seqs, k, least, seq), k)
+
+
+def _unitigs(pieces: DataFrame, k: int) -> DataFrame:
+    with scope(pieces.sparkSession) as keep:
+        return keep(_number(paths.spelled(paths.joined(pieces, k), k)))
 
 
 # Unitig graph
@@ -416,4 +411,4 @@ def length_filter(contigs: DataFrame, min_length: int) -> DataFrame:
     return _number(contigs.filter(F.length("sequence") >= min_length))
 
 
-__all__ = ["adjacency", "clip_tips", "components", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "numbered", "out_degrees", "overlaps", "pop_bubbles", "scope", "simplify", "stitch", "unambiguous", "unitigs", "upper_median"]
+__all__ = ["adjacency", "clip_tips", "components", "cut", "end_key", "length_filter", "list_rank", "mean_coverage", "numbered", "out_degrees", "overlaps", "pop_bubbles", "scope", "simplify", "stitch", "unambiguous", "unitigs", "unitigs_of", "upper_median"]

@@ -41,17 +41,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _buckets(codes: np.ndarray, k: int) -> np.ndarray:
     """The bucket of the window at each place."""
-    fwd, rev = packed._rolled(codes, WORD_BASES)
+    word = min(WORD_BASES, k)
+    fwd, rev = packed._rolled(codes, word)
     low = (_mixed(np.minimum(fwd, rev)) >> U(32)).astype(np.uint32)
-    width, size, n = k - WORD_BASES + 1, 1, len(codes) - k + 1
+    width, size, n = k - word + 1, 1, len(codes) - k + 1
     while 2 * size <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     return (np.minimum(low[:n], low[width - size : width - size + n]) % np.uint32(BUCKETS)).astype(np.int16)
 
 
-def _runs(b: packed.Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, number of windows and bucket of each run of a block, ordered by bucket; and the codes of its bases."""
+def _runs(b: packed.Block, k: int, by_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, number of windows and bucket of each run of a block, ordered by bucket; and the codes of its bases.
+
+    With ``by_ends`` a window is in the buckets of its first and of its last k - 1 bases, once if they are one.
+    """
     codes = packed.CODE[b.buf]
     n = len(codes) - k + 1
     if n <= 0:
@@ -60,6 +64,8 @@ def _runs(b: packed.Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     ends = np.repeat(b.offs[1:], np.diff(b.offs))[:n]
     at = np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(n) + k <= ends))
     codes &= 3
+    if by_ends:
+        return *_shared_runs(at, _buckets(codes, k - 1)), codes
     bucket = _buckets(codes, k)[at]
     fresh = np.ones(len(at), bool)
     fresh[1:] = (at[1:] != at[:-1] + 1) | (bucket[1:] != bucket[:-1])
@@ -71,17 +77,38 @@ def _runs(b: packed.Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return at[first][order], size[order], bucket[first][order], codes
 
 
+def _shared_runs(at: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_runs``, from the places of the windows and the bucket of the k - 1 bases at each place."""
+    left, right = bucket[at], bucket[at + 1]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = at[1:] != at[:-1] + 1
+    # where the bucket changes within a window, it ends one run and begins another
+    begins, turns = np.flatnonzero(fresh), np.flatnonzero(left != right)
+    first = np.concatenate((begins, turns))
+    of = np.concatenate((left[begins], right[turns]))
+    turn = np.repeat([0, 1], [len(begins), len(turns)])
+    order = np.argsort(2 * first + turn, kind="stable")
+    first, of, turn = first[order], of[order], turn[order]
+    size = np.append(first[1:] + turn[1:], len(at)) - first
+    pieces = -(-size // LONGEST)
+    since = LONGEST * _spans(np.zeros(len(size), np.int64), pieces)
+    own = np.repeat(np.arange(len(size)), pieces)
+    first, size, of = first[own] + since, np.minimum(size[own] - since, LONGEST), of[own]
+    order = np.argsort(of, kind="stable")
+    return at[first][order], size[order], of[order]
+
+
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of spans, one after another."""
     before = np.cumsum(size) - size
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def dealt(seqs: DataFrame, k: int, keep: str | None = None, seq: str = "seq") -> DataFrame:
+def dealt(seqs: DataFrame, k: int, keep: str | None = None, seq: str = "seq", by_ends: bool = False) -> DataFrame:
     """(bucket, sizes, bases, keys): the runs of each bucket in a block as one row, dealt over tasks by bucket and ordered by it.
 
     sizes has a byte for each run, bases four bases a byte; keys, with ``keep``, that column
-    for each run.
+    for each run.  ``by_ends`` as for ``_runs``.
     """
     fields = [T.StructField("bucket", T.IntegerType()), T.StructField("sizes", T.BinaryType()), T.StructField("bases", T.BinaryType())]
     if keep is not None:
@@ -94,7 +121,7 @@ def dealt(seqs: DataFrame, k: int, keep: str | None = None, seq: str = "seq") ->
         out = to_arrow_schema(schema)
         for batch in batches:
             for b in packed.blocks(batch.column(0), k):
-                place, size, bucket, codes = _runs(b, k)
+                place, size, bucket, codes = _runs(b, k, by_ends)
                 if not len(place):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -124,6 +151,7 @@ class Held:
     start: np.ndarray
     bases: np.ndarray
     keys: pa.Array | None = None
+    bucket: int | None = None  # of the first
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
@@ -137,11 +165,12 @@ def _runs_of(batch: pa.RecordBatch, k: int, lo: int, hi: int) -> Held:
     sizes = sizes.astype(np.int64)
     start = np.cumsum(sizes + k - 1) - (sizes + k - 1)
     start += np.repeat(4 * (at[:-1] - at[0]) - start[of[:-1] - of[0]], np.diff(of))  # each row begins with a byte
-    return Held(sizes, start, bases, batch.column(3).slice(lo, hi - lo).flatten() if batch.num_columns > 3 else None)
+    return Held(sizes, start, bases, batch.column(3).slice(lo, hi - lo).flatten() if batch.num_columns > 3 else None, batch.column(0)[lo].as_py() if hi > lo else None)
 
 
-def _held(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[Held]]:
-    """All runs of a bucket together, of several buckets while they are small."""
+def _held(batches: Iterator[pa.RecordBatch], k: int, together: int | None = None) -> Iterator[list[Held]]:
+    """All runs of a bucket together, of several buckets while they are small (``together``; 1: never)."""
+    together = TOGETHER if together is None else together
     held: list[Held] = []
     n, last = 0, None
     for batch in batches:
@@ -152,7 +181,7 @@ def _held(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[Held]]:
         lo = 0
         upto = np.concatenate(([0], np.cumsum(_runs_of(batch, k, 0, batch.num_rows).sizes)))[_offsets(batch.column(1)) - _offsets(batch.column(1))[0]]
         for at in first.tolist():
-            if (at or bucket[0] != last) and n + upto[at] - upto[lo] >= TOGETHER:
+            if (at or bucket[0] != last) and n + upto[at] - upto[lo] >= together:
                 if at > lo:
                     held.append(_runs_of(batch, k, lo, at))
                 yield held

@@ -161,12 +161,12 @@ def adjacency_degrees(spark, sf_dir):
 
 @query()
 def unitigs(spark, sf_dir):
-    return graph.unitigs(kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), K)), K)
+    return graph.unitigs_of(V.seqs(spark, sf_dir), K, 2)
 
 
 @query()
 def simplified_contigs(spark, sf_dir):
-    raw = graph.unitigs(kmers.seen_twice(kmers.count_packed(V.seqs(spark, sf_dir), K)), K)
+    raw = graph.unitigs_of(V.seqs(spark, sf_dir), K, 2)
     return graph.simplify(raw, K, min_coverage=2.5, min_length=60)
 
 
