@@ -308,7 +308,7 @@ def unitigs_of(seqs: DataFrame, k: int, least: int, seq: str = "seq") -> DataFra
 
 def _unitigs(pieces: DataFrame, k: int) -> DataFrame:
     with scope(pieces.sparkSession) as keep:
-        return keep(_number(paths.spelled(paths.joined(pieces, k), k)))
+        return keep(_number(cut(paths.spelled(paths.joined(pieces, k), k))))
 
 
 # Unitig graph

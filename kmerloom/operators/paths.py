@@ -5,9 +5,10 @@ at either end, so all k-mers at a junction meet in its bucket and its degrees ar
 A bucket gives the pieces of paths over its own junctions.  Where a path goes on in another
 bucket, its piece there begins with the same k-mer, and over that k-mer they are joined.
 
-A piece has its bases, one strand of two; the kind of its left and right end; and the counts of
-its k-mers and their number, each once for each of its ends that lies in the bucket, so that
-joined pieces hold everything twice.  A palindrome ends a path, which goes back from there
+A piece has its bases, one strand of two; the kind of its left and right end; the canonical
+k-mer of an open end, and whether the piece has its other strand; and the counts of its k-mers
+and their number, each once for each of its ends that lies in the bucket, so that joined
+pieces hold everything twice.  A palindrome ends a path, which goes back from there
 over its other strand; it counts once.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,11 @@ AT_ONCE = 1 << 20  # k-mers of a bucket whose junctions are looked at together;
 SPELLED = 1 << 13  # k-mers that are spelled at once
 SENT = 1 << 14  # pieces in a batch
 
-SCHEMA = T.StructType([T.StructField("bases", T.StringType()), T.StructField("l", T.ByteType()), T.StructField("r", T.ByteType()), T.StructField("cnt", T.LongType()), T.StructField("n", T.LongType())])
+
+def schema(k: int) -> T.StructType:
+    key = packed.key_type(k)
+    kinds = {"bases": T.StringType(), "l": T.ByteType(), "r": T.ByteType(), "a": key, "a_turned": T.BooleanType(), "b": key, "b_turned": T.BooleanType(), "cnt": T.LongType(), "n": T.LongType()}
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
 def _turned(words: np.ndarray, k: int) -> np.ndarray:
@@ -60,11 +66,22 @@ def buckets(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     left, right = np.zeros(len(words), np.int16), np.zeros(len(words), np.int16)
     if k == 1:
         return left, right
+    word = min(runs.WORD_BASES, k - 1)
     for lo in range(0, len(words), SPELLED):
         some = words[lo : lo + SPELLED]
-        of = runs._buckets(packed.CODE[packed.letters(some, k)].reshape(-1), k - 1)
-        at = np.arange(len(some)) * k
-        left[lo : lo + SPELLED], right[lo : lo + SPELLED] = of[at], of[at + 1]
+        if k > packed.WORD:
+            of = runs._buckets(packed.CODE[packed.letters(some, k)].reshape(-1), k - 1)
+            at = np.arange(len(some)) * k
+            left[lo : lo + SPELLED], right[lo : lo + SPELLED] = of[at], of[at + 1]
+            continue
+        # as there, but all k-mers by one of their words at a time
+        fwd, rev, mask = some[:, 0], _turned(some, k)[:, 0], U((1 << (2 * word)) - 1)
+        at = lambda i: (runs._mixed(np.minimum((fwd >> U(2 * (k - word - i))) & mask, (rev >> U(2 * i)) & mask)) >> U(32)).astype(np.uint32)  # noqa: B023, E731
+        first, last = at(0), at(k - word)
+        for i in range(1, k - word):
+            low = at(i)
+            first, last = np.minimum(first, low), np.minimum(last, low)
+        left[lo : lo + SPELLED], right[lo : lo + SPELLED] = first % np.uint32(runs.BUCKETS), last % np.uint32(runs.BUCKETS)
     return left, right
 
 
@@ -166,7 +183,11 @@ def _pieces(words: np.ndarray, cnt: np.ndarray, k: int, own: np.ndarray) -> Iter
         bases = pa.Array.from_buffers(pa.string(), len(many), [None, pa.py_buffer(offs), pa.py_buffer(text)])
         at = np.cumsum(many) - many
         sums = [np.add.reduceat(x, at) for x in (cnt[nodes >> 1] * weight[nodes], weight[nodes])]
-        yield pa.RecordBatch.from_arrays([bases, pa.array(l[part]), pa.array(r[part]), *(pa.array(x) for x in sums)], names=SCHEMA.names)
+        keys = []
+        for node_of, kinds in ((h[part], l[part]), (t[part], r[part])):
+            shown = pa.array(kinds == OPEN)
+            keys += [pc.if_else(shown, packed.to_arrow(words[node_of >> 1], k), None), pc.if_else(shown, pa.array(node_of % 2 == 1), None)]
+        yield pa.RecordBatch.from_arrays([bases, pa.array(l[part]), pa.array(r[part]), *keys, *(pa.array(x) for x in sums)], names=schema(k).names)
 
 
 def of_reads(seqs: DataFrame, k: int, least: int, seq: str = "seq") -> DataFrame:
@@ -178,19 +199,19 @@ def of_reads(seqs: DataFrame, k: int, least: int, seq: str = "seq") -> DataFrame
             if found:
                 yield from pieces(np.concatenate([w for w, _ in found]), np.concatenate([n for _, n in found]).astype(np.int64), k, held[0].bucket)
 
-    return runs.dealt(seqs, k, None, seq, by_ends=True).mapInArrow(run, SCHEMA)
+    return runs.dealt(seqs, k, None, seq, by_ends=True).mapInArrow(run, schema(k))
 
 
 def of_counts(counts: DataFrame, k: int) -> DataFrame:
     """The pieces of ``counts(kmer, cnt)``, packed canonical k-mers, each once."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kmer", packed.key_type(k)), T.StructField("cnt", T.LongType())])
+    rows_of = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kmer", packed.key_type(k)), T.StructField("cnt", T.LongType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = buckets(packed.from_arrow(batch.column(0), k), k)
             both = np.flatnonzero(left != right)
             rows = pa.array(np.concatenate((np.arange(len(left)), both)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((left, right[both])).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((left, right[both])).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=rows_of.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,8 +235,8 @@ def of_counts(counts: DataFrame, k: int) -> DataFrame:
         if held:
             yield from done()
 
-    rows = counts.select("kmer", F.col("cnt").cast("long").alias("cnt")).mapInArrow(deal, schema)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SCHEMA)
+    rows = counts.select("kmer", F.col("cnt").cast("long").alias("cnt")).mapInArrow(deal, rows_of)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema(k))
 
 
 # Joining pieces
@@ -223,52 +244,43 @@ def of_counts(counts: DataFrame, k: int) -> DataFrame:
 FEW = 100_000  # open pieces that are ranked instead of joined pair by pair
 
 
-def _ordered(k: int) -> tuple[Column, Column]:
-    """The canonical forms of the first and the last k-mer of ``bases``."""
-    a, b = F.left("bases", F.lit(k)), F.right("bases", F.lit(k))
-    return F.least(a, S.revcomp(a)), F.least(b, S.revcomp(b))
-
-
 def _closed() -> Column:
     return (F.col("l") != OPEN) & (F.col("r") != OPEN)
 
 
+def _facing(turned: Column) -> list[Column]:
+    """The columns of a piece, of its other strand where ``turned``."""
+    swap = lambda own, other, name: F.when(turned, other).otherwise(own).alias(name)
+    c = F.col
+    ends = [swap(c(x), c(y), x) for x, y in (("l", "r"), ("r", "l"), ("a", "b"), ("b", "a"))] + [swap(c(x), ~c(y), x) for x, y in (("a_turned", "b_turned"), ("b_turned", "a_turned"))]
+    return [swap(c("bases"), S.revcomp("bases"), "bases"), *ends, c("cnt"), c("n")]
+
+
+def _unlooped(df: DataFrame, k: int, loop: Column) -> DataFrame:
+    """Pieces that meet themselves (``loop``), whose first k-mer is also their last, as cycles."""
+    df = df.withColumn("_loop", loop)
+    ends = {"l": F.lit(LOOP).cast("byte"), "r": F.lit(LOOP).cast("byte"), "bases": F.expr("left(bases, length(bases) - 1)")}
+    return df.select(*(F.when(~F.col("_loop"), F.col(f)).otherwise(ends.get(f, F.lit(None))).alias(f) if f not in ("cnt", "n") else F.col(f) for f in schema(k).names))
+
+
 def _met(open_: DataFrame, k: int, turn: int) -> DataFrame:
     """Open pieces after those that choose the same end are joined; each chooses the open end whose k-mer's hash is smaller.
 
     A third of the ends go in a round, whatever the length of a path.
     """
-    a, b = _ordered(k)
-    p = open_.withColumns({"_a": F.when(F.col("l") == OPEN, a), "_b": F.when(F.col("r") == OPEN, b)})
-    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
-    p = p.withColumn("_left", F.col("_a").isNotNull() & (F.col("_b").isNull() | (rank("_a") <= rank("_b"))))
-    p = p.withColumn("_key", F.when(F.col("_left"), F.col("_a")).otherwise(F.col("_b")))
+    a, b = F.col("a"), F.col("b")
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)
+    p = open_.withColumn("_left", a.isNotNull() & (b.isNull() | (rank(a) <= rank(b))))
+    p = p.withColumn("_key", F.when(F.col("_left"), a).otherwise(b)).withColumn("_turn", F.when(F.col("_left"), F.col("a_turned")).otherwise(F.col("b_turned")))
     # turned so that the end's k-mer is canonical: it ends what comes before and begins what comes after
-    own = F.when(F.col("_left"), F.left("bases", F.lit(k))).otherwise(F.right("bases", F.lit(k)))
-    p = p.withColumn("_turn", own != F.col("_key"))
-    turned = F.col("_turn")
-    side = p.select(
-        "_key",
-        (F.col("_left") == turned).alias("_first"),
-        F.struct(
-            F.when(turned, S.revcomp("bases")).otherwise(F.col("bases")).alias("bases"), F.when(turned, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("r"), "cnt", "n"
-        ).alias("p"),
-    )
-    both = side.groupBy("_key").agg(F.max(F.when(F.col("_first"), F.col("p"))).alias("x"), F.max(F.when(~F.col("_first"), F.col("p"))).alias("y"))
+    side = p.repartition("_key").select("_key", (F.col("_left") == F.col("_turn")).alias("_first"), F.struct(*_facing(F.col("_turn"))).alias("p"))
+    both = side.groupBy("_key").agg(F.first(F.when(F.col("_first"), F.col("p")), True).alias("x"), F.first(F.when(~F.col("_first"), F.col("p")), True).alias("y"))
     x, y = F.col("x"), F.col("y")
-    paired = x.isNotNull() & y.isNotNull()
-    one = F.coalesce(x, y)
-    joined = both.select(
-        F.when(paired, F.concat(x["bases"], F.substring(y["bases"], k + 1, 1 << 30))).otherwise(one["bases"]).alias("bases"),
-        F.when(paired, x["l"]).otherwise(one["l"]).alias("l"),
-        F.when(paired, y["r"]).otherwise(one["r"]).alias("r"),
-        F.when(paired, x["cnt"] + y["cnt"]).otherwise(one["cnt"]).alias("cnt"),
-        F.when(paired, x["n"] + y["n"]).otherwise(one["n"]).alias("n"),
-    )
-    # a cycle meets itself: its first k-mer is its last
-    loop = (F.col("l") == OPEN) & (F.col("r") == OPEN) & (F.left("bases", F.lit(k)) == F.right("bases", F.lit(k)))
-    kind = lambda c: F.when(F.col("_loop"), F.lit(LOOP)).otherwise(F.col(c)).cast("byte").alias(c)
-    return joined.withColumn("_loop", loop).select(F.when(F.col("_loop"), F.expr("left(bases, length(bases) - 1)")).otherwise(F.col("bases")).alias("bases"), kind("l"), kind("r"), "cnt", "n")
+    paired, one = x.isNotNull() & y.isNotNull(), F.coalesce(x, y)
+    both_of = {"bases": F.concat(x["bases"], F.substring(y["bases"], k + 1, 1 << 30)), "cnt": x["cnt"] + y["cnt"], "n": x["n"] + y["n"]}
+    both_of |= {c: x[c] for c in ("l", "a", "a_turned")} | {c: y[c] for c in ("r", "b", "b_turned")}
+    out = both.select(*(F.when(paired, both_of[c]).otherwise(one[c]).alias(c) for c in schema(k).names))
+    return _unlooped(out, k, F.coalesce((F.col("a") == F.col("b")) & (F.col("a_turned") == F.col("b_turned")), F.lit(False)))
 
 
 def _chained(open_: DataFrame, k: int) -> DataFrame:
@@ -276,32 +288,27 @@ def _chained(open_: DataFrame, k: int) -> DataFrame:
     from .graph import cut, list_rank
 
     p = cut(open_.withColumn("id", F.monotonically_increasing_id() * 2))
-    canon_a, canon_b = _ordered(k)
-    a, b = F.left("bases", F.lit(k)), F.right("bases", F.lit(k))
     # (k-mer, node, whether it ends the node) for canonical k-mers; node id + 1 is the other strand
-    left = p.filter(F.col("l") == OPEN).select(canon_a.alias("key"), (F.col("id") + (a != canon_a).cast("long")).alias("node"), (a != canon_a).alias("ends"))
-    right = p.filter(F.col("r") == OPEN).select(canon_b.alias("key"), (F.col("id") + (b != canon_b).cast("long")).alias("node"), (b == canon_b).alias("ends"))
+    left = p.filter("a IS NOT NULL").select(F.col("a").alias("key"), (F.col("id") + F.col("a_turned").cast("long")).alias("node"), F.col("a_turned").alias("ends"))
+    right = p.filter("b IS NOT NULL").select(F.col("b").alias("key"), (F.col("id") + F.col("b_turned").cast("long")).alias("node"), (~F.col("b_turned")).alias("ends"))
     met = left.unionByName(right).groupBy("key").agg(F.max(F.when(F.col("ends"), F.col("node"))).alias("prev"), F.max(F.when(~F.col("ends"), F.col("node"))).alias("node"))
-    met = met.filter("prev IS NOT NULL AND node IS NOT NULL")
     links = cut(met.select("prev", "node").unionByName(met.select(F.expr("node ^ 1").alias("prev"), F.expr("prev ^ 1").alias("node"))))
     nodes = p.select(F.explode(F.array("id", F.col("id") + 1)).alias("node"))
     ranked = cut(list_rank(nodes, links))
-    loops = ranked.select("head").filter("head IS NOT NULL").distinct().join(links.select(F.col("node").alias("head")), "head").withColumn("_loop", F.lit(True))
-    # of the two strands of a path the one with the smaller end stays, of a cycle the one with its smallest piece's own strand
+    loops = ranked.select("head").distinct().join(links.select(F.col("node").alias("head")), "head").withColumn("_loop", F.lit(True))
+    # of the two strands of a path one stays; a cycle's head is its smallest node
     ends = ranked.groupBy("head").agg(F.max_by("node", "rank").alias("tail")).join(loops, "head", "left")
     kept = ends.filter(F.when(F.col("_loop"), F.col("head") % 2 == 0).otherwise(F.col("head") < F.expr("tail ^ 1"))).select("head", F.coalesce("_loop", F.lit(False)).alias("_loop"))
     own = ranked.join(kept, "head").withColumn("id", F.expr("node - node % 2")).join(p, "id")
-    turned = F.col("node") % 2 == 1
-    parts = own.select("head", "_loop", "rank", F.when(turned, S.revcomp("bases")).otherwise(F.col("bases")).alias("bases"), F.when(turned, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("r"), "cnt", "n")
+    parts = own.select("head", "_loop", "rank", *_facing(F.col("node") % 2 == 1))
     whole = parts.groupBy("head", "_loop").agg(F.sort_array(F.collect_list(F.struct("rank", "bases"))).alias("parts"), F.min_by("l", "rank").alias("l"), F.max_by("r", "rank").alias("r"), F.sum("cnt").alias("cnt"), F.sum("n").alias("n"))
     tail = F.array_join(F.transform(F.slice("parts", 2, 1 << 30), lambda x: F.substring(x["bases"], k + 1, 1 << 30)), "")
-    whole = whole.withColumn("bases", F.concat(F.col("parts")[0]["bases"], tail))
-    kind = lambda c: F.when(F.col("_loop"), F.lit(LOOP)).otherwise(F.col(c)).cast("byte").alias(c)
-    return whole.select(F.when(F.col("_loop"), F.expr("left(bases, length(bases) - 1)")).otherwise(F.col("bases")).alias("bases"), kind("l"), kind("r"), "cnt", "n")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in schema(k) if f.name[0] in "ab" and f.name != "bases"}  # no end is open
+    return _unlooped(whole.withColumns({"bases": F.concat(F.col("parts")[0]["bases"], tail), **none}), k, F.col("_loop"))
 
 
 def joined(parts: DataFrame, k: int, few: int | None = None) -> DataFrame:
-    """Whole paths (bases, l, r, cnt, n) from their pieces, none with an open end."""
+    """Whole paths from their pieces: none has an open end."""
     from .graph import _remove, cut
 
     few = FEW if few is None else few

@@ -63,7 +63,7 @@ def test_palindromes_and_shares(spark, monkeypatch):
         own = (left == bucket) | (right == bucket)
         batches += paths.pieces(words[own], np.ones(int(own.sum()), np.int64), k, bucket)
     assert max(held) < len(words)
-    parts = spark.createDataFrame([r for b in batches for r in zip(*b.to_pydict().values(), strict=True)], paths.SCHEMA)
+    parts = spark.createDataFrame([r for b in batches for r in zip(*b.to_pydict().values(), strict=True)], paths.schema(k))
     assert [(min(r.sequence, rc(r.sequence)), r.kmers_count) for r in paths.spelled(paths.joined(parts, k), k).collect()] == [(min(half + rc(half), rc(half + rc(half))), 105)]
 
 
