@@ -353,30 +353,45 @@ def pop_bubbles(contigs: DataFrame, k: int, rna: bool = False) -> DataFrame:
     return c.filter((F.col("_n") == 1) | ~goes).drop("_key", "_n", "_len", "_cov")
 
 
+def _sole_overlaps(contigs: DataFrame, k: int) -> DataFrame:
+    """(prev, node): overlaps of k - 1 bases that are the only one of both sides to another contig; node is 2 id, or 2 id + 1 for the other strand.
+
+    The ends meet over their canonical k - 1 bases, so no overlap of several is made.
+    """
+    node, p, q = F.col("id").cast("long") * 2, F.left("sequence", F.lit(k - 1)), F.right("sequence", F.lit(k - 1))
+    end = lambda own, shown, n, ends: F.when(shown, F.struct(own.alias("over"), n.alias("node"), F.lit(ends).alias("ends")))
+    s = contigs.filter(F.length("sequence") >= k - 1).select(node.alias("node"), p.alias("p"), S.revcomp(p).alias("rp"), q.alias("q"), S.revcomp(q).alias("rq"))
+    p, rp, q, rq, n = (F.col(x) for x in ("p", "rp", "q", "rq", "node"))
+    ends = s.select(F.explode(F.array(end(p, p <= rp, n, False), end(rp, rp <= p, n + 1, True), end(q, q <= rq, n, True), end(rq, rq <= q, n + 1, False))).alias("e")).filter("e IS NOT NULL").select("e.*")
+    met = ends.groupBy("over").agg(F.collect_list(F.when(F.col("ends"), F.col("node"))).alias("s"), F.collect_list(F.when(~F.col("ends"), F.col("node"))).alias("d"))
+    # a contig that overlaps itself is no choice; it has two ends here at most, so with a third there may be a sole other
+    met = met.filter("size(s) BETWEEN 1 AND 3 AND size(d) BETWEEN 1 AND 3").select("over", "s", "d", F.explode("s").alias("prev")).select("over", "s", "d", "prev", F.explode("d").alias("node"))
+    others = lambda side, own: F.size(F.filter(side, lambda x: F.shiftright(x, 1) != F.shiftright(own, 1)))
+    sole = met.filter((F.shiftright("prev", 1) != F.shiftright("node", 1)) & (others("d", F.col("prev")) == 1) & (others("s", F.col("node")) == 1))
+    # a palindrome has the other strand's already
+    return sole.select(F.explode(F.array(F.struct("prev", "node"), F.when(F.col("over") != S.revcomp("over"), F.struct(F.expr("node ^ 1").alias("prev"), F.expr("prev ^ 1").alias("node"))))).alias("e")).filter("e IS NOT NULL").select("e.*")
+
+
 def stitch(contigs: DataFrame, k: int) -> DataFrame:
     """Joins contigs over their sole overlaps of k - 1 bases; coverage is weighted by k-mers.
 
-    All joins of a chain happen at once by list ranking; no contig is joined to itself.
+    All joins of a chain happen at once by list ranking; no contig is joined to itself.  Only
+    contigs that are joined go through that.
     """
     contigs = cut(contigs)
-    name = lambda i, r: F.concat(F.lpad(F.col(i).cast("string"), 20, "0"), F.when(F.col(r), "-").otherwise("+"))
-    # a contig that overlaps itself is no choice
-    e = overlaps(contigs, k).filter("src != dst").select(name("src", "src_rc").alias("src"), name("dst", "dst_rc").alias("dst"))
-    out, into = W.Window.partitionBy("src"), W.Window.partitionBy("dst")
-    sole = e.withColumn("a", F.count("*").over(out)).withColumn("b", F.count("*").over(into)).filter("a = 1 AND b = 1")
-    links = cut(sole.select(F.col("src").alias("prev"), F.col("dst").alias("node")))
-    sides = contigs.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("rc"), "id", "sequence", "mean_coverage", "kmers_count")
-    sides = sides.select(name("id", "rc").alias("node"), F.when(F.col("rc"), S.revcomp("sequence")).otherwise(F.col("sequence")).alias("s"), "mean_coverage", "kmers_count", "id")
-    ranked = list_rank(sides.select("node"), links)
-    parts = ranked.join(sides, "node").groupBy("head").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "s"))).alias("parts"), (F.sum(F.col("mean_coverage") * F.col("kmers_count")) / F.sum("kmers_count")).alias("mean_coverage"), F.sum("kmers_count").alias("kmers_count"), F.min("id").alias("_least"), F.count("*").alias("_n")
-    )
+    links = cut(_sole_overlaps(contigs, k))
+    nodes = cut(links.select(F.col("prev").alias("node")).unionByName(links.select("node")).distinct())
+    ranked = list_rank(nodes, links).withColumn("id", F.shiftright("node", 1))
+    weighted = F.col("mean_coverage") * F.col("kmers_count")
+    sides = ranked.join(contigs, "id").withColumn("s", F.when(F.col("node") % 2 == 1, S.revcomp("sequence")).otherwise(F.col("sequence")))
+    parts = sides.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", "s"))).alias("parts"), (F.sum(weighted) / F.sum("kmers_count")).alias("mean_coverage"), F.sum("kmers_count").alias("kmers_count"), F.min("id").alias("_least"))
     tails = F.array_join(F.transform(F.slice("parts", 2, 1 << 30), lambda p: F.substring(p["s"], k, 1 << 30)), "")
-    spelled = parts.select(F.concat(F.col("parts")[0]["s"], tails).alias("sequence"), "mean_coverage", "kmers_count", "_least", "_n", F.col("parts")[0]["s"].alias("_own"))
+    spelled = parts.select(F.concat(F.col("parts")[0]["s"], tails).alias("sequence"), "mean_coverage", "kmers_count", "_least")
     # of the two strands of a chain the smaller stays; a contig on its own stays as it is
-    best = spelled.groupBy("_least").agg(F.min("sequence").alias("sequence"), F.first("mean_coverage").alias("mean_coverage"), F.first("kmers_count").alias("kmers_count"), F.max("_n").alias("_n"))
-    best = best.join(contigs.select(F.col("id").alias("_least"), F.col("sequence").alias("_s")), "_least").withColumn("sequence", F.when(F.col("_n") == 1, F.col("_s")).otherwise(F.col("sequence")))
-    return _number(best.select("sequence", "mean_coverage", F.col("kmers_count").cast("long").alias("kmers_count")))
+    best = spelled.groupBy("_least").agg(F.min("sequence").alias("sequence"), F.first("mean_coverage").alias("mean_coverage"), F.first("kmers_count").alias("kmers_count"))
+    alone = contigs.join(nodes.select(F.shiftright("node", 1).alias("id")).distinct(), "id", "left_anti").withColumn("mean_coverage", weighted / F.col("kmers_count"))
+    both = [x.select("sequence", "mean_coverage", F.col("kmers_count").cast("long").alias("kmers_count")) for x in (alone, best)]
+    return _number(both[0].unionByName(both[1]))
 
 
 def upper_median(df: DataFrame, column: str) -> float | None:

@@ -67,7 +67,7 @@ def test_palindromes_and_shares(spark, monkeypatch):
     assert [(min(r.sequence, rc(r.sequence)), r.kmers_count) for r in paths.spelled(paths.joined(parts, k), k).collect()] == [(min(half + rc(half), rc(half + rc(half))), 105)]
 
 
-@pytest.mark.parametrize("query", ["unitigs"])
+@pytest.mark.parametrize("query", ["unitigs", "simplified_contigs"])
 def test_no_table_of_kmers_is_cut(spark, monkeypatch, query):
     sizes = []
     cut = graph.cut
@@ -82,3 +82,21 @@ def test_no_table_of_kmers_is_cut(spark, monkeypatch, query):
     solid = kmers.seen_twice(kmers.count_packed(views.seqs(spark, SF), 31)).count()
     assert found
     assert max(sizes) < solid / 3
+
+
+def test_only_joined_contigs_are_ranked(spark, monkeypatch):
+    ranked = []
+    rank = graph.list_rank
+    monkeypatch.setattr(graph, "list_rank", lambda nodes, links: ranked.append(nodes.count()) or rank(nodes, links))
+    pair = random_dna(60, 1)
+    texts = [pair[:34], pair[30:], *(random_dna(50, i) for i in range(2, 30))]
+    df = spark.createDataFrame([(i, s, 2.0, len(s) - 4) for i, s in enumerate(texts)], "id long, sequence string, mean_coverage double, kmers_count long")
+    k = 5
+    starts = [x[: k - 1] for t in texts for x in (t, rc(t))]
+    own = {pair[30:34], rc(pair[30:34])}
+    keep = [i for i, t in enumerate(texts) if i < 2 or not {t[: k - 1], t[1 - k :], rc(t)[: k - 1], rc(t)[1 - k :]} & own]
+    assert starts.count(pair[30:34]) >= 1
+    out = graph.stitch(df.filter(df.id.isin(keep)), k)
+    found = [r.sequence for r in out.collect()]
+    assert min(pair, rc(pair)) in {min(s, rc(s)) for s in found} or any(pair in s or rc(pair) in s for s in found)
+    assert ranked[0] < 2 * len(keep)
