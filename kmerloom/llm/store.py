@@ -47,6 +47,17 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Hadoop starts a process (chmod) for every file and folder that it makes on a mounted disk, and until such a process
+#: runs it counts with all of the memory of the executor or driver that starts it.  So a table has no files beside its
+#: parts: no mark of success, as a write that fails raises, and no checksums of files, as Parquet's pages have their own.
+PARTS_ONLY = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "parquet.page.write-checksum.enabled": "true",
+}
+CHECKED = {"parquet.page.verify-checksum.enabled": "true"}
+
 DOCUMENT_ROWS = 1000  # of an Arrow batch while tables are written: their rows may be whole documents
 
 
@@ -65,8 +76,8 @@ class Scratch:
         self.n += 1
         path = f"{self.dir}/{self.n}"
         with batch_rows(self.spark, DOCUMENT_ROWS):
-            df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+            df.write.options(compression="zstd", **PARTS_ONLY).parquet(path)
+        out = self.spark.read.schema(df.schema).options(**CHECKED).parquet(path)
         out._scratch_path = path
         return out
 
